@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +18,9 @@ from lexisift.session import balanced, checkpointed, spread
 BUCKET = 64
 #: Share of a site's pages that hold a token of its wrapper.
 SUPPORT = 0.12
-#: Share of the sites whose wrapper holds an item that counts as furniture on any site.
-POOL = 0.002
+#: Share of the sites whose wrapper holds an item that counts as furniture on any site; a single
+#: word needs more, as it may name the site's subject.
+POOL, POOL_WORD = 0.01, 0.06
 
 # Words of page furniture in German, by what they announce.
 NAV = """Startseite|Start|Kontakt|Impressum|Datenschutz|Datenschutzerklärung|AGB|Sitemap|RSS|Jobs|Karriere|Hilfe|Suche|Anmelden|Abmelden|Registrieren|Login|
@@ -111,14 +112,17 @@ def _words(text: str) -> list[str]:
 
 def _sentence(line: str) -> bool:
     """Whether a line reads as running prose: several words and an end of sentence or a comma."""
-    return len(_words(line)) >= 4 and bool(re.search(r"[.!?…“\"]\s*$|[.!?]\s+[A-ZÄÖÜ„\"]", line)) or len(_words(line)) >= 14
+    words = _words(line)
+    if len(words) >= 4 and re.search(r"[.!?…“\"]\s*$|[.!?]\s+[A-ZÄÖÜ„\"]", line):
+        return True
+    return len(words) >= 14 and 10 * sum(w[0].islower() for w in words) >= 3 * len(words)
 
 
 def _headline(raw: str, tok: str) -> bool:
     """Whether a line could be the title of a page: few words, no end of a sentence, no list mark."""
     if not 1 < len(_words(tok)) <= 9 or tok[-1:] in ".!?,;:“\"" or re.search(r"[|\t;()]|\s{3,}", raw.strip()):
         return False
-    return raw[:1].isalnum() and not re.match(r"\d+[.)]\s", raw) or raw[:1] in "»›"
+    return (raw[:1].isupper() or raw[:1].isdigit()) and not re.match(r"\d+[.)]\s", raw) or raw[:1] in "»›"
 
 
 def _heading_mark(raw: str) -> bool:
@@ -155,25 +159,31 @@ def furniture(lines: list[str], own: set[str], pool: set[str]) -> list[int]:
                 i += k or 1
         return hit / n if n else 0.0
 
+    order = {i: k for k, i in enumerate(live)}
+
+    def near(i: int) -> bool:
+        """Whether a line beside line ``i`` is known; a single word alone may be an entry of a list."""
+        beside = [live[k] for k in (order[i] - 1, order[i] + 1) if 0 <= k < len(live)]
+        return any(toks[x] in own or toks[x] in items for x in beside)
+
     out: set[int] = set()
     for i in live:
         t, r = toks[i], raws[i]
         prose = _sentence(r)
         if _heading_mark(r):
             continue
-        if t in own and not (prose and not (reader.search(r) or notice.search(r))):
+        if t in own and (" " in t or t in items or near(i)) and not (prose and not (reader.search(r) or notice.search(r))):
             out.add(i)
         elif notice.search(r) and not (prose and len(_words(r)) > 14 and not reader.search(r) and "©" not in r):
             out.add(i)
         elif appeal.search(r) and reader.search(r) and len(appeal.findall(r)) * 12 >= len(_words(r)) - 8:
             out.add(i)
-        elif t in items or OWN_ITEM.match(t) or (not prose and len(pieces(t)) + len(t.split()) > 2 and covered(t) >= 0.5):
+        elif t in items or OWN_ITEM.match(t) or (not prose and "#" not in t and len(pieces(t)) + len(t.split()) > 2 and covered(t) >= 0.5):
             out.add(i)
         elif not prose and re.search(r"\s[›»>/]\s", r) and covered(pieces(t)[0]) + (pieces(t)[0] in own) > 0.3:
             out.add(i)
-        elif not prose and len(pieces(t)) >= 3 and len(t.split()) <= 3 * len(pieces(t)) and sum(p in items for p in pieces(t)) >= 1:
+        elif not prose and "#" not in t and len(pieces(t)) >= 3 and len(t.split()) <= 3 * len(pieces(t)) and sum(p in items for p in pieces(t)) >= 1:
             out.add(i)
-    order = {i: k for k, i in enumerate(live)}
 
     def body(i: int) -> bool:
         return i not in out
@@ -212,11 +222,11 @@ def furniture(lines: list[str], own: set[str], pool: set[str]) -> list[int]:
         opens = toks[i] in teaser_heads or any(toks[i] == h or toks[i].startswith(h + ":") for h in teaser_heads)
         rest = live[k + 1 :]
         if not opens:
-            if not (_headline(r, toks[i]) or r.endswith(":") and len(toks[i].split()) > 1 and r[:1].isalpha()) or _heading_mark(r) or len(toks[i].split()) > 6 or covered(toks[i]) > 0:
+            if not (_headline(r, toks[i]) or r.endswith(":") and len(toks[i].split()) > 1 and r[:1].isalpha()) or _heading_mark(r) or len(toks[i].split()) > 6:
                 continue
             n = next((n for n, x in enumerate(rest) if not (_headline(raws[x], toks[x]) and not _heading_mark(raws[x]) and x not in out)), len(rest))
             quoted = any(raws[x].startswith(("»", "›", "→", "➤")) for x in rest[:n])
-            if not (n >= 2 and (quoted or toks[i] in own) or n >= 3 and not any(of_text(x) for x in rest[:1])):
+            if not (n >= 2 and quoted or n >= 3 and text and len(toks[i].split()) <= 4 and not any(of_text(x) for x in rest[: n - 1])):
                 continue
         first = True
         for x in rest:
@@ -240,16 +250,18 @@ def furniture(lines: list[str], own: set[str], pool: set[str]) -> list[int]:
     return sorted(out)
 
 
-def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        toks = [[token(x) for x in t.split("\n") if x.strip()] for t in b["text"]]
-        yield pd.DataFrame({"key": b["key"], "site": [site(u) for u in b["url"]], "tokens": toks, "text": b["text"]})
+        toks = [[token(x) for x in t.split("\n") if x.strip()] for t in b.column(2).to_pylist()]
+        hosts = [site(u) for u in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts, pa.string()), pa.array(toks, pa.list_(pa.string())), b.column(2)], ["key", "site", "tokens", "text"])
 
 
-def _wrapper(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("key")
-    rows = infer([list(x) for x in pdf["tokens"]])
-    return pd.DataFrame({"site": [pdf["site"].iloc[0]] * len(rows), "token": [t for t, _ in rows], "support": [s for _, s in rows]})
+def _wrapper(pages: pa.Table) -> pa.Table:
+    """Wrapper of one bucket; pages with equal streams are one page, as copies show no constants."""
+    streams = sorted({tuple(x) for x in pages["tokens"].to_pylist()})
+    rows = infer([list(x) for x in streams])
+    return pa.table({"site": pa.array([pages["site"][0].as_py()] * len(rows), pa.string()), "token": pa.array([t for t, _ in rows], pa.string()), "support": pa.array([n for _, n in rows], pa.int64())})
 
 
 def page_lines(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
@@ -270,27 +282,27 @@ def page_lines(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
     rows = pages.filter(F.col(key).isNotNull() & F.col(text).rlike(r"\S")).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(text).alias("text"))
     rows = rows.withColumn("_d", F.xxhash64("text")).dropDuplicates(["key", "_d"]).drop("_d")
     kind = rows.schema["key"].dataType.simpleString()
-    streams = balanced(rows).mapInPandas(_streams, f"key {kind}, site string, tokens array<string>, text string")
+    streams = balanced(rows).mapInArrow(_streams, f"key {kind}, site string, tokens array<string>, text string")
     streams = checkpointed(streams)
     sizes = streams.filter("site is not null").groupBy("site").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = sizes.withColumn("buckets", F.ceil(F.col("n") / BUCKET).cast("int"))
     bucketed = streams.join(sizes, "site").withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int"))
-    parts = bucketed.select("site", "bucket", "key", "tokens").groupBy("site", "bucket").applyInPandas(_wrapper, "site string, token string, support long")
+    parts = bucketed.select("site", "bucket", "key", "tokens").groupBy("site", "bucket").applyInArrow(_wrapper, "site string, token string, support long")
     constants = parts.groupBy("site", "token").agg(F.sum("support").alias("support")).join(sizes, "site")
     constants = checkpointed(constants.filter((F.col("support") >= 2) & (F.col("support") >= SUPPORT * F.col("n"))).select("site", "token", "buckets"))
     sites = constants.select("site").distinct().count()
-    items = constants.withColumn("item", F.explode(F.concat(F.array("token"), F.split("token", r"\s*[|·•›☰]\s*|\s[–/>]\s")))).filter("item <> ''")
-    pool = items.groupBy("item").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= max(3, POOL * sites))
+    items = constants.withColumn("item", F.explode(F.concat(F.array("token"), F.split("token", r"\s*[|·•›☰]\s*|\s[–/>]\s")))).filter(F.col("item").rlike(r"\p{L}{2}"))
+    pool = items.groupBy("item").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= F.when(F.col("item").contains(" "), max(3, POOL * sites)).otherwise(max(3, POOL_WORD * sites)))
     # Of titles that pages of a site share by chance most have a number or a name; furniture is in many sites.
     shared = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in pool.select("item").toLocalIterator()))
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [furniture(t.split("\n"), set(o) if o is not None else set(), shared.value) for t, o in zip(b["text"], b["own"])]
-            yield pd.DataFrame({"key": b["key"], "text": b["text"], "outside": found})
+            found = [furniture(t.split("\n"), set(o or ()), shared.value) for t, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "text", "outside"])
 
     own = constants.groupBy("site", "buckets").agg(F.collect_set("token").alias("own"))
     own = own.select("site", "own", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
     known = bucketed.select("key", "text", "site", "bucket").join(own, ["site", "bucket"], "left").select("key", "text", "own")
     alone = streams.join(sizes, "site", "left_anti").select("key", "text", F.lit(None).cast("array<string>").alias("own"))
-    return balanced(known.unionByName(alone)).mapInPandas(label, f"key {kind}, text string, outside array<int>").withColumnRenamed("key", key)
+    return balanced(known.unionByName(alone)).mapInArrow(label, f"key {kind}, text string, outside array<int>").withColumnRenamed("key", key)
