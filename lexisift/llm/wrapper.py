@@ -44,6 +44,8 @@ READER = r"\b(Sie|Ihr|Ihre|Ihren|Ihrem|Ihrer|Ihnen|wir|Wir|uns|Uns|unser|Unser|u
 SEPARATORS = r"\s*[|·•/–—›»>→←☰]\s*|\s{2,}"
 # Fixed value: names of sections that a site calls after itself.
 OWN_ITEM = re.compile(r"(Rund um|Unser|Unsere|Forum|Treffpunkt|Alles über) \S+$")
+# Words that no title ends with.
+OPEN_END = set("der die das den dem des ein eine einen einem einer von und oder mit für in im auf zu zum zur an am bei als bis ist sind war waren wird hat dass nach vor um aus".split())
 _flat = lambda p: re.sub(r"\|?\n\|?", "|", p)
 
 
@@ -120,7 +122,7 @@ def _sentence(line: str) -> bool:
 
 def _headline(raw: str, tok: str) -> bool:
     """Whether a line could be the title of a page: few words, no end of a sentence, no list mark."""
-    if not 1 < len(_words(tok)) <= 9 or tok[-1:] in ".!?,;:“\"" or re.search(r"[|\t;()]|\s{3,}", raw.strip()):
+    if not 1 < len(_words(tok)) <= 9 or tok[-1:] in ".!?,;:“\"" or re.search(r"[|\t;(),]|\s{3,}|[.!?]\s", raw.strip()) or tok.split()[-1] in OPEN_END:
         return False
     return (raw[:1].isupper() or raw[:1].isdigit()) and not re.match(r"\d+[.)]\s", raw) or raw[:1] in "»›"
 
@@ -233,6 +235,8 @@ def furniture(lines: list[str], own: set[str], pool: set[str]) -> list[int]:
             if _heading_mark(raws[x]) or not _headline(raws[x], toks[x]):
                 break
             after = live[order[x] + 1] if order[x] + 1 < len(live) else None
+            if after is not None and raws[after][:1].islower():
+                break
             if not first and after is not None and after not in out and _sentence(raws[after]) and of_text(x) and not raws[x].startswith("»"):
                 break
             out.add(x)
