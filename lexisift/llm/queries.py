@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisift.llm import bpe, leaks, lookalike, terms, wrapper
+from lexisift.llm import bpe, leaks, lookalike, pairs, terms, wrapper
 from lexisift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("id", F.explode("outside").alias("line_no")).distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.flagged(table(spark, d, "ai_career_01"), "id", "input", "reference_rewrite")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "pattern_019").select(F.explode("cases").alias("c")).select(F.lit("pattern_019").alias("tbl"), F.col("c.id").alias("id"), F.col("c.input").alias("text"))
     pages = table(spark, d, "fetch_de_human_corpus").select(F.lit("fetch_de_human_corpus").alias("tbl"), "id", "text")
@@ -52,7 +56,7 @@ SELECT nfc_normalize(lower(trim(ngram))) AS term, CAST(sum(coalesce(ai_count, 0)
        CAST(count(DISTINCT run_id) AS BIGINT) AS records
 FROM (SELECT DISTINCT * FROM mine_patterns WHERE ngram IS NOT NULL) GROUP BY 1"""
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_terms": p4_terms, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_terms": p4_terms, "p6_ids": p6_ids, "p7_found": p7_found}
 
 SQL: dict[str, str] = {
     "p4_terms": TERMS_SQL,
