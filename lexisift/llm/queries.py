@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisift.llm import bpe, leaks, lookalike, pairs, terms, wrapper
+from lexisift.llm import bpe, leaks, lookalike, pairs, subjects, terms, wrapper
 from lexisift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +51,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    examples, items = table(spark, d, "subject_examples"), table(spark, d, "eval_items")
+    return subjects.subjects_of(table(spark, d, "documents"), "doc_id", "text", examples, "subject", "text", items)
+
+
 TERMS_SQL = """
 SELECT nfc_normalize(lower(trim(ngram))) AS term, CAST(sum(coalesce(ai_count, 0) + coalesce(human_count, 0)) AS BIGINT) AS occurrences,
        CAST(count(DISTINCT run_id) AS BIGINT) AS records
 FROM (SELECT DISTINCT * FROM mine_patterns WHERE ngram IS NOT NULL) GROUP BY 1"""
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_terms": p4_terms, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_terms": p4_terms, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL: dict[str, str] = {
     "p4_terms": TERMS_SQL,
