@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisift.llm import bpe, leaks, lookalike, pairs, subjects, terms, wrapper
+from lexisift.llm import bpe, leaks, lookalike, pairs, quality, subjects, terms, wrapper
 from lexisift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,29 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_counts(table(spark, d, "mine_patterns"), "ngram", "run_id", ["ai_count", "human_count"])
 
 
+def bodies(spark: SparkSession, d: str) -> DataFrame:
+    """``key`` (table and id) and ``text``: main bodies of the two fetched tables; encyclopedia texts are all body."""
+    pages = wrapper.page_lines(table(spark, d, "fetch_de_human_corpus"), "id", "source_url", "text")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("outside", i), x)), lambda x: x.isNotNull())
+    named = lambda tbl: F.struct(F.lit(tbl).alias("tbl"), F.col("id").alias("id")).alias("key")
+    wiki = table(spark, d, "fetch_de_wikipedia_ai_tagged").select("id", "text").distinct()
+    both = pages.select(named("fetch_de_human_corpus"), F.array_join(lines, "\n").alias("text")).unionByName(wiki.select(named("fetch_de_wikipedia_ai_tagged"), "text"))
+    return both.select(F.to_json("key").alias("key"), "text")
+
+
+def _unkey(df: DataFrame) -> DataFrame:
+    key = F.from_json("key", "tbl string, id string")
+    return df.select(key["tbl"].alias("tbl"), key["id"].alias("id"), *(c for c in df.columns if c != "key"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _unkey(quality.not_prose(bodies(spark, d), "key", "text"))
+
+
+def p5_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _unkey(quality.scored(bodies(spark, d), "key", "text").drop("text"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -61,7 +84,7 @@ SELECT nfc_normalize(lower(trim(ngram))) AS term, CAST(sum(coalesce(ai_count, 0)
        CAST(count(DISTINCT run_id) AS BIGINT) AS records
 FROM (SELECT DISTINCT * FROM mine_patterns WHERE ngram IS NOT NULL) GROUP BY 1"""
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_terms": p4_terms, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_stats": p5_stats, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL: dict[str, str] = {
     "p4_terms": TERMS_SQL,

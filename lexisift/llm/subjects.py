@@ -274,7 +274,8 @@ def inspected(topics: Topics, known: dict[tuple[str | None, str], Counter], top:
             for subject, n in c.items():
                 votes[subject] += max(0.0, lift[w]) * n / total
         best = max(votes, key=lambda s: votes[s], default=None)
-        out.append(best if label != COMMON and best is not None and 2 * votes[best] > sum(votes.values()) else None)
+        # What texts on no subject seeded stays on none.
+        out.append(best if label not in (COMMON, None) and best is not None and 2 * votes[best] > sum(votes.values()) else None)
     return out
 
 
