@@ -142,7 +142,7 @@ def frontmatter(fields: dict[str, Column], metadata: Column) -> Column:
 
 
 def _steps(c: Column, steps: list[tuple[str, str]]) -> Column:
-    return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
+    return reduce(lambda x, s: F.regexp_replace(x, java(s[0]), s[1]), steps, c)
 
 
 # Markup that goes, and what stays of it, in this order.

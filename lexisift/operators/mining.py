@@ -25,7 +25,11 @@ def gram_counts(df: DataFrame, text: str, flag: Column, min_n: int, max_n: int)
     cross the border of a document.
     """
     toks = df.select(T.tokens(F.col(text)).alias("t"), flag.alias("is_a"))
-    grams = F.concat(*(F.transform(T.ngrams(F.col("t"), n), lambda g, n=n: F.struct(g.alias("ngram"), F.lit(n).alias("n"))) for n in range(min_n, max_n + 1)))
+
+    def grams_of(n: int) -> Column:
+        return F.transform(T.ngrams(F.col("t"), n), lambda g: F.struct(g.alias("ngram"), F.lit(n).alias("n")))
+
+    grams = F.concat(*map(grams_of, range(min_n, max_n + 1)))
     long = toks.select("is_a", F.explode(grams).alias("g"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return long.groupBy("g.ngram", "g.n").agg(one(F.col("is_a")).alias("a"), one(~F.col("is_a")).alias("b"))

@@ -33,7 +33,7 @@ def texts(spark: SparkSession, path: str, pattern: str = "*.{md,txt,json}") -> D
 
     Names that begin with ``_`` or ``.`` are left out; malformed JSON stays as it is.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), "value")
     field = F.when(F.col("path").endswith(".json"), F.get_json_object("value", "$.input"))
     return raw.select("path", F.coalesce(field, "value").alias("text"))
