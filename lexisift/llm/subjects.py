@@ -337,7 +337,9 @@ def subjects_of(docs: DataFrame, key: str, text: str, examples: DataFrame, subje
     kind = rows.schema["key"].dataType.simpleString()
 
     given = [(r[0], r[1]) for r in examples.select(subject, example_text).filter(f"{example_text} is not null").toLocalIterator()]
-    langs = tuple(sorted({language(t)[0] for _, t in given})) or ("en",)
+    if not any(name for name, _ in given):
+        return spark.createDataFrame([], T.StructType([T.StructField(key, rows.schema["key"].dataType), T.StructField("subject", T.StringType())]))
+    langs = tuple(sorted({language(t)[0] for _, t in given}))
     if others is not None:
         texts = [r[0] for r in others.select(other_text).filter(f"{other_text} is not null").toLocalIterator()]
         joined = ["\n".join(t for t in texts if language_of(t, langs) == lang) for lang in langs]
