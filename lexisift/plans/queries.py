@@ -11,7 +11,7 @@ from lexisift.functions import text as T
 from lexisift.lexicon import BRIDGE, DIMENSIONS, EN, PACKS, pack
 from lexisift.operators import evals, mining, rewrite, scan, trials
 from lexisift.plans import sqlgen as g
-from lexisift.session import table
+from lexisift.session import balanced, table
 from lexisift.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    """The documents; dealt out to all cores where they lie in fewer splits than there are."""
+    return balanced(table(spark, d, "documents"))
 
 
 def seeded(df: DataFrame, lang: str) -> DataFrame:
