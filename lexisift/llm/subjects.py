@@ -113,8 +113,8 @@ class Topics:
 
     def __init__(self, phi: np.ndarray, labels: list[tuple[str | None, str]]):
         self.phi, self.labels = phi, labels
-        self.alpha = np.array([ALPHA_COMMON if s == COMMON else ALPHA for s, _ in labels])
-        self.by_word = np.ascontiguousarray(phi.T)
+        self.alpha = np.array([ALPHA_COMMON if s == COMMON else ALPHA for s, _ in labels], np.float32)
+        self.by_word = np.ascontiguousarray(phi.T, dtype=np.float32)
 
     def shares(self, flat: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Topic shares of each document and topic probabilities of each of its words.
@@ -124,10 +124,11 @@ class Topics:
         new = np.concatenate([[True], docs[1:] != docs[:-1]])
         first, of = np.flatnonzero(new), np.cumsum(new) - 1
         phi = self.by_word[flat]
-        share = np.ones((len(first), phi.shape[1]))
+        counts = counts.astype(np.float32)
+        share = np.ones((len(first), phi.shape[1]), np.float32)
         for _ in range(PASSES):
             r = phi * share[of]
-            r /= r.sum(axis=1, keepdims=True)
+            r /= np.maximum(r.sum(axis=1, keepdims=True), np.float32(1e-30))
             share = np.add.reduceat(r * counts[:, None], first, axis=0) + self.alpha
             share /= share.sum(axis=1, keepdims=True)
         return share, r
@@ -224,8 +225,10 @@ def tally(model: Topics, bags: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         if by_document:
             of = np.cumsum(np.concatenate([[True], docs[1:] != docs[:-1]])) - 1
             r = share[of] * (model.by_word[flat] > 0) * (model.alpha < ALPHA_COMMON)
-            r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-        np.add.at(total, flat, r * counts[:, None])
+            r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
+        order = np.argsort(flat, kind="stable")
+        words, starts = np.unique(flat[order], return_index=True)
+        total[words] += np.add.reduceat((r * counts[:, None])[order], starts, axis=0)
     return total
 
 
