@@ -29,10 +29,14 @@ def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
 def balanced(df: DataFrame) -> DataFrame:
     """``df`` for a costly per-row stage.
 
-    Many input files or splits already spread the work, so nothing is shuffled; only where the
-    scan has fewer partitions than there are cores are its rows dealt out.
+    Many input files or splits already spread the work of a scan, so nothing is shuffled; only where
+    a scan has fewer partitions than there are cores are its rows dealt out. Rows that come from a
+    shuffle are dealt out too, as AQE may have merged them into few tasks (asking for their number
+    of partitions would run that shuffle).
     """
     spark = df.sparkSession
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df.repartition(width(spark))
     return df if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(width(spark))
 
 
