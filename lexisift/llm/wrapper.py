@@ -33,7 +33,7 @@ TEASER = """Meistgelesen|Dossiers|Passend dazu|Aus dem Archiv|Lesen Sie auch|Das
 Zuletzt kommentiert|Was andere gerade lesen|Beliebte Themen|Beliebte Meldungen|Beliebt in dieser Rubrik|Ähnliche Artikel|Weitere Artikel|Empfohlene Beiträge"""
 # Phrases by which a page speaks of itself, its provider or its devices to the reader.
 NOTICE = r"""(?i)©|\balle rechte vorbehalten|\bpowered by\b|\bein (angebot|projekt|service) (der|von|des)\b|\bnachdruck nur|\bnicht verantwortlich für (die )?inhalte|
-|\bjavascript ist|\bihr browser|\bsie sind nicht angemeldet|\beinloggen|\beingeloggt|\bpasswort vergessen|\bbitte melden sie sich an|\bseite nicht gefunden|
+|\bjavascript ist|\bihr browser|\bhilft uns\b.*\bnutzen wir\b|\bstimmen sie zu\b|\bsie sind nicht angemeldet|\beinloggen|\beingeloggt|\bpasswort vergessen|\bbitte melden sie sich an|\bseite nicht gefunden|
 |\bzugriff verweigert|\bderzeit nicht verfügbar|\bdiese (web)?seite (hat|wurde|nutzt|verwendet|setzt)\b|\blesezeit\b|^(seite|ergebnis) \d+ von \d+$|^version \d|^fehler \d+$|\bschlagw[oö]rter\s*:|^tags?\s*:|
 |^\(c\)|\balle angaben ohne gewähr|\bgegründet \d{4}|\bGmbH\b|\be\. ?V\.|\bamtsgericht\b.*\d|\bfreien? lizenz|\bmarken gehören|\bbetreut von\b|^(bild|foto|grafik|text|autor|autorin|quelle)\s*:\s*\w+/|^veröffentlicht (unter|am|von|in)\b|\bkeine kommentare\b|^gestaltung und technik\b|
 |\bwar dieser|\bhat ihnen dies|^\d+ (mal )?(kommentare?|geteilt|aufrufe|likes|bewertungen)$|inhaltsverzeichnis anzeigen|hier endet der artikel|
