@@ -176,7 +176,7 @@ def furniture(lines: list[str], own: set[str], pool: set[str]) -> list[int]:
             continue
         if t in own and (" " in t or t in items or near(i)) and not (prose and not (reader.search(r) or notice.search(r))):
             out.add(i)
-        elif notice.search(r) and not (prose and len(_words(r)) > 14 and not reader.search(r) and "©" not in r):
+        elif notice.search(r) and not (prose and len(_words(r)) > 14 * len(notice.findall(r)) and not reader.search(r) and "©" not in r):
             out.add(i)
         elif appeal.search(r) and reader.search(r) and len(appeal.findall(r)) * 12 >= len(_words(r)) - 8:
             out.add(i)
