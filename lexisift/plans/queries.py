@@ -388,7 +388,7 @@ def trials_binary(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "overedit_report",
     f"""WITH c AS ({SQL['trials_continuous']}), j AS (SELECT coalesce(p.domain, 'casual') AS domain, c.* FROM (SELECT DISTINCT id, domain FROM ai_career_01) p JOIN c ON c.case_id = p.id)
-SELECT domain, count(*) AS cases, round(avg(median), 4) AS mean_ratio, count(*) FILTER (median > 0.5) AS above, count(*) FILTER (flaky) AS flaky, count(*) FILTER (inconclusive) AS inconclusive FROM j GROUP BY 1""",
+SELECT domain, count(*) AS cases, CAST(round(CAST(avg(median) AS DECIMAL(20, 9)), 4) AS DOUBLE) AS mean_ratio, count(*) FILTER (median > 0.5) AS above, count(*) FILTER (flaky) AS flaky, count(*) FILTER (inconclusive) AS inconclusive FROM j GROUP BY 1""",
 )
 def overedit_report(spark: SparkSession, d: str) -> DataFrame:
     domains = table(spark, d, "ai_career_01").select("id", F.coalesce("domain", F.lit("casual")).alias("domain")).distinct()
