@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -95,6 +96,11 @@ def best_match(piece: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def between(places: Sequence[int], a: int, b: int) -> Sequence[int]:
+    """Those of the sorted ``places`` from ``a`` to ``b``."""
+    return places[bisect_left(places, a) : bisect_right(places, b)]
+
+
 def passage(item: Item, doc: str, i: int, q: int, exact: dict[int, list[int]]) -> tuple[int, int, int, int, set[int]]:
     """The passage around piece ``i`` found at ``q``: first and last piece, first and last place, pieces held.
 
@@ -110,7 +116,7 @@ def passage(item: Item, doc: str, i: int, q: int, exact: dict[int, list[int]]) -
             size = item.cuts[k + 1] - item.cuts[k]
             expected = at + item.cuts[k] - item.cuts[last]
             slack = 6 + 4 * failed + skipped
-            near = [x for x in exact.get(k, ()) if abs(x - expected) <= slack + size]
+            near = between(exact.get(k, ()), expected - slack - size, expected + slack + size)
             if near:
                 found = min(near, key=lambda x: abs(x - expected))
             else:
@@ -128,8 +134,33 @@ def passage(item: Item, doc: str, i: int, q: int, exact: dict[int, list[int]]) -
     return lo, hi, q_lo, q_hi + item.cuts[hi + 1] - item.cuts[hi], held
 
 
-def held_words(item: Item, doc: str, passages: list[tuple]) -> list[int]:
-    """Numbers of the item's words most of whose letters lie in passages, whose ends are drawn out letter by letter."""
+def best_pair(passages: list[tuple], sizes: list[int], pieces: int) -> list[tuple]:
+    """The passage or the two passages in order, in item and text, with the largest sum of ``sizes``.
+
+    A sweep over the places where second passages start, exact for any number of passages: of
+    those that end before, the largest by last piece is kept. Two passages may share a piece.
+    """
+    best, chosen = 0, []
+    by_last: list[tuple[int, int]] = [(0, -1)] * pieces
+    ended, at = sorted(range(len(passages)), key=lambda n: passages[n][3]), 0
+    for n in sorted(range(len(passages)), key=lambda n: passages[n][2]):
+        lo, _, a, _, _ = passages[n]
+        while at < len(ended) and passages[ended[at]][3] <= a + PIECE:
+            m = ended[at]
+            hi = passages[m][1]
+            by_last[hi] = max(by_last[hi], (sizes[m], m))
+            at += 1
+        size, m = max(by_last[:lo], default=(0, -1))
+        shared, other = by_last[lo]
+        if other not in (-1, n) and shared - PIECE > size:
+            size, m = shared - PIECE, other
+        if size + sizes[n] > best:
+            best, chosen = size + sizes[n], [n] if m < 0 else [m, n]
+    return [passages[n] for n in chosen]
+
+
+def held_letters(item: Item, doc: str, passages: list[tuple]) -> bytearray:
+    """A sign for each letter of the item that lies in passages, whose ends are drawn out letter by letter."""
     inside = bytearray(len(item.text))
     for lo, hi, a, b, pieces in passages:
         for k in pieces:
@@ -142,6 +173,12 @@ def held_words(item: Item, doc: str, passages: list[tuple]) -> list[int]:
         while x >= 0 and q >= 0 and item.text[x] == doc[q]:
             inside[x] = 1
             x, q = x - 1, q - 1
+    return inside
+
+
+def held_words(item: Item, doc: str, passages: list[tuple]) -> list[int]:
+    """Numbers of the item's words most of whose letters lie in passages."""
+    inside = held_letters(item, doc, passages)
     starts = [0, *item.word_ends[:-1]]
     return [w for w, (x, y) in enumerate(zip(starts, item.word_ends)) if 2 * sum(inside[x:y]) >= y - x]
 
@@ -174,29 +211,19 @@ class Matcher:
         out = {}
         for n, exact in hits.items():
             item = self.items[n]
-            # Even with edits in three of four pieces of what is held, so many are hit exactly.
-            if 4 * len(exact) < int(self.share * (len(item.cuts) - 1)):
-                continue
             passages, used = [], set()
             for i, places in sorted(exact.items()):
                 for q in places:
                     if (i, q) in used:
                         continue
                     lo, hi, a, b, held = passage(item, doc, i, q, exact)
-                    used.update((k, x) for k in held for x in exact.get(k, ()) if a <= x <= b)
+                    used.update((k, x) for k in held for x in between(exact.get(k, ()), a, b))
                     if len(held) > 1:
                         passages.append((lo, hi, a, b, held))
             if not passages:
                 continue
-            passages = sorted(passages, key=lambda p: -len(p[4]))[:8]
-            best: set[int] = set()
-            chosen: list[tuple] = []
-            for x, p in enumerate(passages):
-                for r in (p, *passages[x + 1 :]):
-                    first, second = (p, r) if p[0] <= r[0] else (r, p)
-                    if r is p or first[1] < second[0] + 1 and first[3] <= second[2] + PIECE:
-                        if len(p[4] | r[4]) > len(best):
-                            best, chosen = p[4] | r[4], [p] if r is p else [p, r]
+            sizes = [sum(held_letters(item, doc, [p])) for p in passages]
+            chosen = best_pair(passages, sizes, len(item.cuts) - 1)
             words = held_words(item, doc, chosen)
             per: dict[int, int] = {}
             for w in words:

@@ -45,6 +45,37 @@ def test_leaks_by_share_and_noise():
         assert m.leaks(" ".join(w[:24])) == [] or len(w[:24]) >= 0.45 * len(w)
 
 
+def test_copies_of_one_part_hide_no_other_part():
+    m = leaks.Matcher([(k, item(k)) for k in range(5)])
+    for k in range(5):
+        w = item(k).split()
+        assert m.leaks((" ".join(w[:18]) + " " + item(1000 + k) + " ") * 12 + " ".join(w[36:48])) == [k]
+
+
+def test_one_exact_piece_is_enough():
+    for k in range(5):
+        x = leaks.Item.of(k, item(k, 72))
+        pieces = [x.piece(i) for i in range(len(x.cuts) - 1)]
+        n = int(len(pieces) * 0.65)
+        changed = [p if i == n // 2 else p[:5] + "0" + p[6:] for i, p in enumerate(pieces[:n])]
+        assert leaks.Matcher([(k, item(k, 72))]).leaks(item(1000 + k) + " " + "".join(changed)) == [k]
+
+
+def test_best_pair_matches_trying_all():
+    rng = random.Random(6)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randint(1, 14)):
+            lo, a = rng.randrange(12), rng.randrange(300)
+            hi = rng.randint(lo, 11)
+            found.append((lo, hi, a, a + 12 * (hi - lo + 1), set(range(lo, hi + 1))))
+        sizes = [12 * len(p[4]) for p in found]
+        pairs = [(p, r) for p in found for r in found if p is not r and p[1] <= r[0] and p[3] <= r[2] + leaks.PIECE]
+        want = max([len(p[4]) for p in found] + [len(p[4] | r[4]) for p, r in pairs])
+        got = leaks.best_pair(found, sizes, 12)
+        assert len(set().union(*(p[4] for p in got))) == want
+
+
 def test_rows(spark):
     t = item(1)
     items = spark.createDataFrame([(1, t), (2, None), (3, "short"), (4, "")], "item_id long, text string")
