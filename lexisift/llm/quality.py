@@ -20,11 +20,24 @@ STATISTICS = {"words": 0, "word_length": 0, "symbol_share": 1, "digit_share": 1,
 #: Share of the score that chance gives (one a statistic) from which a text is looked at closely.
 SUSPECT = 0.4
 
+#: Words of a run whose distinct words are counted.
+WINDOW = 200
+
 # Fixed value: what marks an entry of a list.
 MARK = r"([-*•–+>✅➤🔹✔☑▪■□●○◦]|\d{1,3}[.)]|[a-zA-Z][.)](?=\s))"
 _COMMON = frozenset(w for v in FUNCTION_WORDS.values() for w in v)
 
 
+def fresh(words: list[str]) -> float:
+    """Share of distinct words in runs of ``WINDOW`` words, on average over all of them.
+
+    Long texts repeat their words anyway, so runs of one length are compared. Each run, a short
+    last one too, weighs by its words.
+    """
+    runs = [words[i : i + WINDOW] for i in range(0, len(words), WINDOW)]
+    return sum(len(set(x)) for x in runs) / max(1, len(words))
+
+
 def statistics(text: str) -> dict[str, float]:
     """Figures of a text with look-alike characters in one form, rounded to six digits."""
     lines = [plain(x) for x in text.split("\n")]
@@ -40,7 +53,7 @@ def statistics(text: str) -> dict[str, float]:
         "ended_lines": sum(bool(re.search(r"[.!?…:][\"”“»)]*$", x)) for x in lines) / max(1, len(lines)),
         "common_share": sum(w in _COMMON for w in words) / n,
         "line_words": len(words) / max(1, len(lines)),
-        "distinct_words": len(set(words[:200])) / max(1, len(words[:200])),
+        "distinct_words": fresh(words),
     }
     return {k: round(float(v), 6) for k, v in out.items()}
 

@@ -18,6 +18,14 @@ def test_forms():
     assert quality.form([]) is None and quality.form(["", " "]) is None
 
 
+def test_distinct_words_are_of_the_whole_text():
+    start = " ".join(f"wort{i}" for i in range(200))
+    junk = " ".join(["fehler"] * 600)
+    assert quality.statistics(start)["distinct_words"] == 1.0
+    assert quality.statistics(f"{start} {junk}")["distinct_words"] == quality.statistics(f"{junk} {start}")["distinct_words"] == round(203 / 800, 6)
+    assert quality.statistics(start + " ende")["distinct_words"] == 1.0 and quality.statistics("")["distinct_words"] == 0.0
+
+
 def test_ranks_match_sorting(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["de", "en"]), rng.choice(["a", "b"]), round(rng.choice([0.0, rng.random()]), 2)) for _ in range(3000)]
