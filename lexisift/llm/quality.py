@@ -17,8 +17,6 @@ from lexisift.session import balanced, checkpointed, width
 
 #: Statistics and the tails that point away from prose: -1 low, 1 high, 0 both.
 STATISTICS = {"words": 0, "word_length": 0, "symbol_share": 1, "digit_share": 1, "ended_lines": -1, "common_share": -1, "line_words": -1, "distinct_words": -1}
-#: Share of the score that chance gives (one a statistic) from which a text is looked at closely.
-SUSPECT = 0.4
 
 #: Words of a run whose distinct words are counted.
 WINDOW = 200
@@ -260,15 +258,15 @@ def scored(texts: DataFrame, key: str, text: str) -> DataFrame:
 def not_prose(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, form`` of the texts that are mostly not prose: ``list``, ``table`` or ``junk``.
 
-    Texts whose outlier score is at least ``SUSPECT`` of what chance gives are looked at line by
-    line (``form``); below that they have the figures of prose. Repeated rows give one.
+    Every text is looked at line by line (``form``), so that its answer does not depend on the
+    other texts, as ranks and scores do. Rows with a null or blank text have none; repeated rows give one.
     """
-    suspects = scored(texts, key, text).filter(F.col("score") >= SUSPECT * len(STATISTICS)).select(key, "text")
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\S"))
+    kind = rows.schema["key"].dataType.simpleString()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [form(t.split("\n")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], [key, "form"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["key", "form"])
 
-    kind = suspects.schema[key].dataType.simpleString()
-    return suspects.mapInArrow(look, f"{key} {kind}, form string").filter("form is not null").distinct()
+    return balanced(rows).mapInArrow(look, f"key {kind}, form string").filter("form is not null").distinct().withColumnRenamed("key", key)

@@ -44,3 +44,10 @@ def test_rows(spark):
     figures = quality.scored(df, "id", "text")
     assert figures.count() == 30 + 4 * 2 and figures.filter("score is null").count() == 0
     assert quality.not_prose(df.limit(0), "id", "text").count() == 0
+
+
+def test_forms_do_not_depend_on_other_texts(spark):
+    lists = [(f"l{i}", "\n".join(f"- Ding {i * n % 97}" for n in range(1, 13))) for i in range(1, 61)]
+    rows = lists + [(f"p{i}", PROSE + f" Das war am {i}. Tag so.") for i in range(5)]
+    got = {r.id: r.form for r in quality.not_prose(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()}
+    assert got == {k: "list" for k, _ in lists}
