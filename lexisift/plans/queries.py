@@ -258,6 +258,13 @@ def edit_ratio(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).filter(ascii_only).select("id", F.round(rewrite.guarded_edit_ratio(F.col("input"), F.col("reference_rewrite")), 4).alias("ratio"))
 
 
+@query("edit_ratio_all")
+def edit_ratio_all(spark: SparkSession, d: str) -> DataFrame:
+    """Ratios of all pairs with both texts, by code points; ``edit_ratio`` has those that SQL's byte-wise distance can follow."""
+    both = pairs(spark, d).filter("input is not null and reference_rewrite is not null")
+    return both.select("id", F.round(rewrite.guarded_edit_ratio(F.col("input"), F.col("reference_rewrite")), 4).alias("ratio"))
+
+
 _SIGNS = ["", "No text provided, sorry.", "**Changes made:** all", "a → b\nc -> d", "#7 x\nPattern 8 y", "Entfernt: z", "**Wesentliche Änderungen:** w"]
 
 

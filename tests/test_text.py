@@ -186,3 +186,22 @@ def test_html_and_markup(spark):
     assert value(spark, T.sample_domain(C), "---\nmetadata:\n  domain: legal\n---\nBody") == "legal"
     assert value(spark, T.decode_base64(C), "w4RyZ2Vy\n") == "Ärger"
     assert value(spark, T.looks_german(C), "der die das und")
+
+
+def test_edit_ratios_of_all_pairs_match_brute_force(spark, tmp_path):
+    from lexisift.plans import queries
+
+    rows = [("a", "Grüße an Jörg", "Gruß an Jörg"), ("b", "“One” – two", '"One" - two'), ("c", "plain", "plane"), ("d", "año", "año y más"), ("e", None, "x"), ("f", "x", None), ("g", "𝒳 y", "x y"), ("a", "Grüße an Jörg", "Gruß an Jörg")]
+    spark.createDataFrame([(*r, "de", "career", "s") for r in rows], "id string, input string, reference_rewrite string, lang string, domain string, source string").write.parquet(str(tmp_path / "ai_career_01.parquet"))
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {k: 0.0 if b.startswith(a) and len(b) > len(a) else round(distance(a, b) / len(a), 4) for k, a, b in rows if a and b}
+    assert {r.id: r.ratio for r in queries.edit_ratio_all(spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-4)
