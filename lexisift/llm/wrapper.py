@@ -18,6 +18,9 @@ from lexisift.session import balanced, checkpointed, spread
 BUCKET = 64
 #: Share of a site's pages that hold a token of its wrapper.
 SUPPORT = 0.12
+#: Pages that hold a token of a large site's wrapper which has less than that share but stands, in
+#: most of them, alone or with one other between constants or a page's ends.
+FRAMED = 8
 #: Share of the sites whose wrapper holds an item that counts as furniture on any site; a single
 #: word needs more, as it may name the site's subject.
 POOL, POOL_WORD = 0.01, 0.06
@@ -80,14 +83,15 @@ def site(url: str | None) -> str | None:
     return host.removeprefix("www.") or None
 
 
-def infer(streams: list[list[str]]) -> list[tuple[str, int]]:
+def infer(streams: list[list[str]], least: int = 2) -> list[tuple[str, int]]:
     """Wrapper of token streams: its tokens in page order, each with the number of pages that hold it.
 
     Streams are aligned with the wrapper one after the other. A token that matches at or behind
     the place reached so far is a constant there; one that matches before it is an optional that
     sites put at several places; one that a page holds again is a repeated group and counts once.
     A token that the wrapper lacks goes in at the place reached. In the end what only one page
-    holds collapses into the text slots between the others, so only the rest is returned.
+    holds collapses into the text slots between the others, so only the rest is returned; with
+    ``least`` 1 all is, as other pages of the site may hold it.
     """
     order: list[str] = []
     support: dict[str, int] = {}
@@ -105,7 +109,21 @@ def infer(streams: list[list[str]]) -> list[tuple[str, int]]:
                 added.setdefault(at, []).append(t)
         if added:
             order = [x for i, t in enumerate(order) for x in (*added.get(i, ()), t)] + added.get(len(order), [])
-    return [(t, support[t]) for t in order if support[t] > 1]
+    return [(t, support[t]) for t in order if support[t] >= least]
+
+
+def framed(stream: list[str], own: set[str]) -> dict[str, bool]:
+    """The tokens outside ``own`` and whether at most two of them stand between constants or a page's ends."""
+    out: dict[str, bool] = {}
+    run: list[str] = []
+    for t in [*stream, None]:
+        if t is not None and t not in own:
+            run.append(t)
+            continue
+        for x in run:
+            out[x] = out.get(x, False) or len(run) <= 2 < len(stream)
+        run = []
+    return out
 
 
 def _words(text: str) -> list[str]:
@@ -264,7 +282,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wrapper(pages: pa.Table) -> pa.Table:
     """Wrapper of one bucket; pages with equal streams are one page, as copies show no constants."""
     streams = sorted({tuple(x) for x in pages["tokens"].to_pylist()})
-    rows = infer([list(x) for x in streams])
+    rows = infer([list(x) for x in streams], 2 if pages["buckets"][0].as_py() == 1 else 1)
     return pa.table({"site": pa.array([pages["site"][0].as_py()] * len(rows), pa.string()), "token": pa.array([t for t, _ in rows], pa.string()), "support": pa.array([n for _, n in rows], pa.int64())})
 
 
@@ -277,9 +295,10 @@ def page_lines(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
     the wrappers of other sites have in common.
 
     Pages of a site meet in buckets of about ``BUCKET`` pages (a large site has many), where their
-    token streams are aligned into a wrapper. The buckets' wrappers are added up by token; a
-    token stays if at least two pages and the share ``SUPPORT`` of the site's pages hold it, so a
-    site keeps at most (tokens a page) / ``SUPPORT`` of them. Items that the wrappers of at least
+    lines are counted by token: pages with equal streams of tokens count as one, in the support
+    as in the size of the site. A token stays if at least two pages and the share ``SUPPORT`` of
+    the site's pages hold it; on a large site also if ``FRAMED`` pages hold it and it stands
+    between constants in three of four of them. Items that the wrappers of at least
     three sites and the share ``POOL`` of all sites hold are furniture anywhere; of these there
     are at most (tokens a site) / ``POOL``, which bounds what is collected and sent to the tasks.
     """
@@ -288,12 +307,27 @@ def page_lines(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
     streams = balanced(rows).mapInArrow(_streams, f"key {kind}, site string, tokens array<string>, text string")
     streams = checkpointed(streams)
-    sizes = streams.filter("site is not null").groupBy("site").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.withColumn("buckets", F.ceil(F.col("n") / BUCKET).cast("int"))
-    bucketed = streams.join(sizes, "site").withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int"))
-    parts = bucketed.select("site", "bucket", "key", "tokens").groupBy("site", "bucket").applyInArrow(_wrapper, "site string, token string, support long")
+    # Copies of a page show no constants, so neither support nor the size of a site counts them.
+    distinct = streams.filter("site is not null").withColumn("h", F.xxhash64("tokens")).groupBy("site", "h").agg(F.first("tokens").alias("tokens"), F.count("*").alias("pages"))
+    sizes = distinct.groupBy("site").agg(F.count("*").alias("n"), F.sum("pages").alias("pages")).filter("n > 1")
+    sizes = checkpointed(sizes.select("site", "n", F.ceil(F.col("n") / BUCKET).cast("int").alias("buckets"), F.ceil(F.col("pages") / BUCKET).cast("int").alias("shares")))
+    bucketed = distinct.select("site", "h", "tokens").join(sizes, "site").withColumn("bucket", F.pmod("h", F.col("buckets")).cast("int"))
+    parts = bucketed.select("site", "bucket", "buckets", "tokens").groupBy("site", "bucket").applyInArrow(_wrapper, "site string, token string, support long")
     constants = parts.groupBy("site", "token").agg(F.sum("support").alias("support")).join(sizes, "site")
-    constants = checkpointed(constants.filter((F.col("support") >= 2) & (F.col("support") >= SUPPORT * F.col("n"))).select("site", "token", "buckets"))
+    constants = checkpointed(constants.filter((F.col("support") >= 2) & (F.col("support") >= SUPPORT * F.col("n"))).select("site", "token", "buckets", "shares"))
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(s, t, int(f)) for s, x, o in zip(*(b.column(c).to_pylist() for c in range(3))) for t, f in framed(x, set(o)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string()), pa.array([r[2] for r in found], pa.int64())], ["site", "token", "framed"])
+
+    # Sites of which the share asks for more than FRAMED pages.
+    large = constants.join(sizes.filter(F.col("n") * SUPPORT > FRAMED).select("site"), "site").groupBy("site", "buckets").agg(F.collect_set("token").alias("own"))
+    large = large.select("site", "own", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
+    seen = bucketed.select("site", "bucket", "tokens").join(large, ["site", "bucket"]).select("site", "tokens", "own").mapInArrow(frames, "site string, token string, framed long")
+    seen = seen.groupBy("site", "token").agg(F.sum("framed").alias("framed"), F.count("*").alias("support"))
+    rarer = seen.filter((F.col("framed") >= FRAMED) & (4 * F.col("framed") >= 3 * F.col("support"))).join(sizes, "site").select("site", "token", "buckets", "shares")
+    constants = checkpointed(constants.unionByName(rarer))
     sites = constants.select("site").distinct().count()
     items = constants.withColumn("item", F.explode(F.concat(F.array("token"), F.split("token", r"\s*[|·•›☰]\s*|\s[–/>]\s")))).filter(F.col("item").rlike(r"\p{L}{2}"))
     pool = items.groupBy("item").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= F.when(F.col("item").contains(" "), max(3, POOL * sites)).otherwise(max(3, POOL_WORD * sites)))
@@ -305,8 +339,9 @@ def page_lines(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
             found = [furniture(t.split("\n"), set(o or ()), shared.value) for t, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "text", "outside"])
 
-    own = constants.groupBy("site", "buckets").agg(F.collect_set("token").alias("own"))
-    own = own.select("site", "own", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
-    known = bucketed.select("key", "text", "site", "bucket").join(own, ["site", "bucket"], "left").select("key", "text", "own")
+    own = constants.groupBy("site", "shares").agg(F.collect_set("token").alias("own"))
+    own = own.select("site", "own", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("bucket"))
+    dealt = streams.join(sizes, "site").withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
+    known = dealt.select("key", "text", "site", "bucket").join(own, ["site", "bucket"], "left").select("key", "text", "own")
     alone = streams.join(sizes, "site", "left_anti").select("key", "text", F.lit(None).cast("array<string>").alias("own"))
     return balanced(known.unionByName(alone)).mapInArrow(label, f"key {kind}, text string, outside array<int>").withColumnRenamed("key", key)

@@ -55,3 +55,25 @@ def test_very_long_page(spark):
     text = "\n".join(f"Dies ist der {i}. Satz eines sehr langen Textes, und er endet hier." for i in range(5000))
     df = spark.createDataFrame([("a", "http://a.example", text)], "id string, source_url string, text string")
     assert wrapper.page_lines(df, "id", "source_url", "text").first().outside == []
+
+
+def test_copies_do_not_count_for_the_size_of_a_site(spark):
+    say = lambda n: f"Der {n}. Brief kam am Abend an, und alle lasen ihn zweimal in Ruhe durch."
+    rows = [(f"a{n}", "http://a.example", f"Heft Blaue Brille\n{say(f'{n * 7}te, {chr(97 + n % 26)}{chr(97 + n // 26)}')}\nKlub Grüne Kanne") for n in range(60)]
+    rows += [(f"c{n}", "http://a.example", say("eine")) for n in range(1500)]
+    df = spark.createDataFrame(rows, "id string, source_url string, text string")
+    got = {r.id: r.outside for r in wrapper.page_lines(df, "id", "source_url", "text").collect()}
+    assert len(got) == 1560 and all(got[f"a{n}"] == [0, 2] for n in range(60)) and all(got[f"c{n}"] == [] for n in range(1500))
+
+
+def test_rarer_constants_of_a_large_site(spark):
+    word = lambda n: chr(97 + n % 26) + chr(97 + n // 26 % 26)
+    rows = []
+    for n in range(300):
+        rare = ["Halle mit der sehr roten Lampe"] if n % 20 == 0 else []
+        heading = ["Kleine Frage zu dem roten Brief"] if n % 20 == 1 else []
+        body = [f"Der Brief {word(n)} kam am Abend an, und alle lasen ihn in Ruhe durch.", *heading, f"Nach {word(n)} Tagen ging er zurück, und keiner las ihn noch einmal.", f"Das war {word(n)} recht so, und es blieb auch dabei."]
+        rows.append((str(n), "http://a.example", "\n".join(["Heft Blaue Brille", *rare, "Klub Grüne Kanne", *body, "Saal Gelbe Tasse"])))
+    df = spark.createDataFrame(rows, "id string, source_url string, text string")
+    got = {r.id: r.outside for r in wrapper.page_lines(df, "id", "source_url", "text").collect()}
+    assert all(got[str(n)] == ([0, 1, 2, 6] if n % 20 == 0 else [0, 1, 6] if n % 20 == 1 else [0, 1, 5]) for n in range(300))
