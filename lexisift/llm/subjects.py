@@ -17,8 +17,8 @@ from lexisift.llm.pairs import FUNCTION_WORDS, language
 from lexisift.llm.wrapper import plain
 from lexisift.session import balanced, checkpointed
 
-#: Least share of the documents that must hold a word of the vocabulary. As a document has a bounded
-#: mean number of distinct words, there are at most (that number) / MIN_SHARE words.
+#: Least share of the documents with a language that must hold a word of its vocabulary. As a document has
+#: a bounded mean number of distinct words, there are at most (that number) / MIN_SHARE words a language.
 MIN_SHARE = 5e-4
 #: Passes of the distributed fit and, in each, over a document's topic shares.
 ROUNDS, PASSES = 6, 6
@@ -322,6 +322,16 @@ def assigned(topics: Topics, subjects: list[str | None], docs: list[list[list[in
     return out
 
 
+def frequent_words(split: DataFrame, share: float = MIN_SHARE) -> set[str]:
+    """Words of column ``words`` that at least three documents and ``share`` of those with its language hold."""
+    known = split.select(F.array_distinct(F.flatten("words")).alias("w"))
+    code = lambda w: F.substring_index(w, ":", 1)
+    totals = known.select(F.explode(F.array_distinct(F.transform("w", code))).alias("lang")).groupBy("lang").agg(F.count("*").alias("total"))
+    used = known.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("lang", code(F.col("w")))
+    often = used.join(F.broadcast(totals), "lang").filter((F.col("n") >= 3) & (F.col("n") >= share * F.col("total")))
+    return {r[0] for r in often.select("w").toLocalIterator()}
+
+
 def subjects_of(docs: DataFrame, key: str, text: str, examples: DataFrame, subject: str, example_text: str, others: DataFrame | None = None, other_text: str = "text") -> DataFrame:
     """``key, subject``: each document's subjects.
 
@@ -333,7 +343,8 @@ def subjects_of(docs: DataFrame, key: str, text: str, examples: DataFrame, subje
     Null, empty and blank texts have no subject, nor has a document in a language without examples.
 
     The texts are cut to sentences once and written as word numbers; only counts by word and topic
-    leave the tasks. The vocabulary is counted over all documents and bounded by ``MIN_SHARE``.
+    leave the tasks. The vocabulary is counted over all documents and bounded by ``MIN_SHARE``
+    in each language.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).filter(F.col("text").rlike(r"\S"))
@@ -354,9 +365,7 @@ def subjects_of(docs: DataFrame, key: str, text: str, examples: DataFrame, subje
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.string())))], ["key", "words"])
 
     split = checkpointed(balanced(rows).mapInArrow(cut, f"key {kind}, words array<array<string>>"))
-    total = split.count()
-    used = split.select(F.explode(F.array_distinct(F.flatten("words"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    frequent = {r[0] for r in used.filter(F.col("n") >= max(3, MIN_SHARE * total)).select("w").toLocalIterator()}
+    frequent = frequent_words(split)
     from_examples = Counter(w for _, t in given for w in {w for s in spoken(sentences(t), langs) for w in s})
     vocabulary = sorted(frequent | {w for w, n in from_examples.items() if n > 1} | {f"{k}:{w}" for k in langs for w in FUNCTION_WORDS[k] if len(w) > 1})
     voc = spark.sparkContext.broadcast(vocabulary)

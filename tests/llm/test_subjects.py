@@ -54,3 +54,10 @@ def test_empty_tables(spark, empty):
     examples = spark.createDataFrame([("sea", "The anchor and the sail. The tide was high.")], "subject string, text string")
     docs, examples = (docs.limit(0), examples) if empty == "docs" else (docs, examples.limit(0))
     assert subjects.subjects_of(docs, "doc_id", "text", examples, "subject", "text").count() == 0
+
+
+def test_words_of_a_rare_language_are_kept(spark):
+    rows = [([["en:the", "en:rare"]] if i < 5 else [["en:the"], ["en:sail", "en:sail"]],) for i in range(960)]
+    rows += [([["es:de", "es:ancla"]] if i < 5 else [["es:de"], ["es:solo"]] if i < 7 else [["es:de"]],) for i in range(40)] + [([],)]
+    split = spark.createDataFrame(rows, "words array<array<string>>")
+    assert subjects.frequent_words(split, 0.02) == {"en:the", "en:sail", "es:de", "es:ancla"}
