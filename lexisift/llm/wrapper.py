@@ -84,14 +84,12 @@ def site(url: str | None) -> str | None:
 
 
 def infer(streams: list[list[str]], least: int = 2) -> list[tuple[str, int]]:
-    """Wrapper of token streams: its tokens in page order, each with the number of pages that hold it.
-
-    Streams are aligned with the wrapper one after the other. A token that matches at or behind
-    the place reached so far is a constant there; one that matches before it is an optional that
-    sites put at several places; one that a page holds again is a repeated group and counts once.
-    A token that the wrapper lacks goes in at the place reached. In the end what only one page
-    holds collapses into the text slots between the others, so only the rest is returned; with
-    ``least`` 1 all is, as other pages of the site may hold it.
+    """Tokens of streams in page order, each with the number of pages that hold it.
+
+    This counts, it does not align: a token counts once a page wherever it stands, and no
+    optionals, repeated groups or slots are made. A token that is new goes in behind the one
+    before it. Tokens with less than ``least`` pages are left out; with ``least`` 1 none is, as
+    other pages of the site may hold it.
     """
     order: list[str] = []
     support: dict[str, int] = {}
