@@ -14,8 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = wrapper.page_lines(table(spark, d, "fetch_de_human_corpus"), "id", "source_url", "text")
-    return pages.select("id", F.explode("outside").alias("line_no")).distinct()
+    return wrapper.outside_lines(table(spark, d, "fetch_de_human_corpus"), "id", "source_url", "text")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,26 +4,29 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.lookalike import mapping
-from lexisift.session import balanced, checkpointed, spread
+from lexisift.llm import align
+from lexisift.llm.lookalike import PLAIN, mapping
+from lexisift.session import checkpointed, width
 
-#: Pages of a site that one task aligns; a larger site is split by a hash of the page's id.
-BUCKET = 64
-#: Share of a site's pages that hold a token of its wrapper.
-SUPPORT = 0.12
-#: Pages that hold a token of a large site's wrapper which has less than that share but stands, in
-#: most of them, alone or with one other between constants or a page's ends.
-FRAMED = 8
+#: Pages, and lines, of a site that one task aligns; a larger site is aligned in several groups whose wrappers are aligned in turn.
+BUCKET, BUCKET_LINES = 64, 20_000
+#: Share of a site's pages that hold a constant of its wrapper, and the least share of a token that its place can make one.
+SUPPORT, LEAST = 0.12, 0.005
 #: Share of the sites whose wrapper holds an item that counts as furniture on any site; a single
 #: word needs more, as it may name the site's subject.
 POOL, POOL_WORD = 0.01, 0.06
+#: Share of all rows from which a site's wrapper is sent to all tasks: at most 1 / HOT sites.
+HOT = 0.01
 
 # Words of page furniture in German, by what they announce.
 NAV = """Startseite|Start|Kontakt|Impressum|Datenschutz|Datenschutzerklärung|AGB|Sitemap|RSS|Jobs|Karriere|Hilfe|Suche|Anmelden|Abmelden|Registrieren|Login|
@@ -55,19 +58,29 @@ _flat = lambda p: re.sub(r"\|?\n\|?", "|", p)
 @lru_cache(1)
 def _tools() -> tuple:
     table = {ord(c): "".join(p for p, _ in parts) for c, parts in mapping()}
-    return table, re.compile(_flat(NOTICE)), re.compile(_flat(APPEAL)), re.compile(READER), re.compile(SEPARATORS)
+    return table, re.compile(_flat(NOTICE)), re.compile(_flat(APPEAL)), re.compile(READER), re.compile(SEPARATORS), re.compile(f"[^{PLAIN}]")
 
 
 def plain(line: str) -> str:
     """``line`` with look-alike characters in one form and outer blanks removed."""
     import unicodedata
 
-    return (line if line.isascii() else unicodedata.normalize("NFC", line.translate(_tools()[0]))).strip()
+    return (unicodedata.normalize("NFC", line.translate(_tools()[0])) if not line.isascii() and _tools()[5].search(line) else line).strip()
+
+
+def _token(raw: str) -> str:
+    return re.sub(r"\d+", "#", re.sub(r"^[\W_]+", "", raw) or raw).rstrip(" :")
 
 
 def token(line: str) -> str:
     """Token of a line: its text without the marks before it, digits as one sign."""
-    return re.sub(r"\d+", "#", re.sub(r"^[\W_]+", "", plain(line)) or plain(line)).rstrip(" :")
+    return _token(plain(line))
+
+
+@lru_cache(100_000)
+def digest(tok: str) -> int:
+    """Number of a token, positive, with three bits left free; the fourth is set for several words."""
+    return xxhash.xxh3_64_intdigest(tok) >> 1 & ~15 | 8 * (" " in tok)
 
 
 def pieces(tok: str) -> list[str]:
@@ -75,55 +88,23 @@ def pieces(tok: str) -> list[str]:
     return [p for p in (x.strip() for x in _tools()[4].split(tok)) if p]
 
 
+HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/@\s]*@)?([^/:?#\s]+)"
+
+
+def _host(url: F.Column) -> F.Column:
+    """``site`` as a column."""
+    name = F.regexp_replace(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), r"^www\.", "")
+    return F.when(name != "", name)
+
+
 def site(url: str | None) -> str | None:
     """Host of a URL however it is written: no scheme, ``www.``, port, case or path."""
-    if not url or not (m := re.match(r"\s*(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@\s]*@)?([^/:?#\s]+)", url, re.I)):
+    if not url or not (m := re.match(HOST, url)):
         return None
     host = m[1].lower().rstrip(".")
     return host.removeprefix("www.") or None
 
 
-def infer(streams: list[list[str]], least: int = 2) -> list[tuple[str, int]]:
-    """Tokens of streams in page order, each with the number of pages that hold it.
-
-    This counts, it does not align: a token counts once a page wherever it stands, and no
-    optionals, repeated groups or slots are made. A token that is new goes in behind the one
-    before it. Tokens with less than ``least`` pages are left out; with ``least`` 1 none is, as
-    other pages of the site may hold it.
-    """
-    order: list[str] = []
-    support: dict[str, int] = {}
-    for stream in streams:
-        index = {t: i for i, t in enumerate(order)}
-        at, seen, added = 0, set(), {}
-        for t in stream:
-            if t in seen:
-                continue
-            seen.add(t)
-            support[t] = support.get(t, 0) + 1
-            if t in index:
-                at = max(at, index[t] + 1)
-            else:
-                added.setdefault(at, []).append(t)
-        if added:
-            order = [x for i, t in enumerate(order) for x in (*added.get(i, ()), t)] + added.get(len(order), [])
-    return [(t, support[t]) for t in order if support[t] >= least]
-
-
-def framed(stream: list[str], own: set[str]) -> dict[str, bool]:
-    """The tokens outside ``own`` and whether at most two of them stand between constants or a page's ends."""
-    out: dict[str, bool] = {}
-    run: list[str] = []
-    for t in [*stream, None]:
-        if t is not None and t not in own:
-            run.append(t)
-            continue
-        for x in run:
-            out[x] = out.get(x, False) or len(run) <= 2 < len(stream)
-        run = []
-    return out
-
-
 def _words(text: str) -> list[str]:
     return re.findall(r"\w+", text)
 
@@ -147,69 +128,117 @@ def _heading_mark(raw: str) -> bool:
     return bool(re.match(r"\s*(#{1,6}|={2,6})\s", raw))
 
 
-def furniture(lines: list[str], own: set[str], pool: set[str]) -> list[int]:
-    """Numbers of the non-blank lines outside the main body.
+def _shape(raw: str, tok: str) -> int:
+    if _heading_mark(raw):
+        return align.HEADING
+    return align.TITLE if _headline(raw, tok) else align.PROSE if _sentence(raw) else align.OTHER
 
-    ``own`` has the tokens of the site's wrapper, ``pool`` the items that many wrappers hold.
-    Constants of a wrapper are furniture; a slot between them is judged by what opens it and by
-    its form.
+
+class Site:
+    """What is known of a page's site: its wrapper, and the items that its constants are made of."""
+
+    def __init__(self, tokens: list[int] = (), support: list[int] = (), opens: list[bool] = (), items: list[int] = ()):
+        self.nodes = (tokens, support, opens)
+        self.items = {t & ~7 for t in tokens} | set(items)
+
+
+class Words:
+    """Fixed words of furniture, to judge the lines that no wrapper decides."""
+
+    def __init__(self, pool: frozenset[int] = frozenset(), lists: bool = True):
+        _, notice, appeal, reader, _, _ = _tools()
+        never = re.compile(r"(?!)")
+        self.pool, self.lists = pool, lists
+        self.notice, self.appeal, self.reader, self.own = (notice, appeal, reader, OWN_ITEM) if lists else (never,) * 4
+        self.teasers = frozenset(_flat(TEASER).split("|")) if lists else frozenset()
+        self.items = (frozenset(_flat(NAV).split("|")) | frozenset(_flat(BAR).split("|")) if lists else frozenset()) | self.teasers
+
+    def noticed(self, lines: list[str]) -> list[bool]:
+        """Whether a line may match ``notice``: a wider form of it, searched in all lines at once by RE2."""
+        wide = re.sub(r"\\b", "", re.sub(r"\\[wd]", ".", self.notice.pattern))
+        return pc.match_substring_regex(pa.array(lines, pa.string()), wide).to_pylist() if self.lists else [False] * len(lines)
+
+    def item(self, x: str) -> bool:
+        return x in self.items or digest(x) in self.pool
+
+
+def furniture(raws: list[str], own: Site, words: Words, noticed: list[bool]) -> list[int]:
+    """Numbers of the non-blank lines outside the main body, given all lines in plain form and which of them ``words`` noticed.
+
+    The page is aligned with the wrapper of its site: lines that are nodes, titles of a group that a
+    node opens and trails that begin with a node are furniture; all else is text of slots, which
+    is the body, but for lines that the items of other sites' wrappers, fixed words or
+    their form give away.
     """
-    _, notice, appeal, reader, _ = _tools()
-    toks = [token(x) for x in lines]
-    raws = [plain(x) for x in lines]
+    notice, appeal, reader, item = words.notice, words.appeal, words.reader, words.item
+    toks = [_token(r) for r in raws]
     live = [i for i, r in enumerate(raws) if r]
-    teaser_heads = set(_flat(TEASER).split("|"))
-    items = pool | set(_flat(NAV).split("|")) | set(_flat(BAR).split("|")) | teaser_heads
+    order = {i: k for k, i in enumerate(live)}
+    shapes = [_shape(raws[i], toks[i]) for i in live]
+    on_wrapper, heads = align.parse(*own.nodes, [digest(toks[i]) | s for i, s in zip(live, shapes)]) if own.items else ((), ())
+    nodes, opening = {live[k] for k in on_wrapper}, {live[k] for k in heads}
+    known = {i for i in live if i in nodes or item(toks[i])}
+    heading = {i for i, s in zip(live, shapes) if s == align.HEADING}
+    title = {i for i, s in zip(live, shapes) if s == align.TITLE}
+    sentence = {i for i, s in zip(live, shapes) if s == align.PROSE}
+    sentence |= {i for i in heading | title if _sentence(raws[i])}
 
     def covered(t: str) -> float:
         """Share of the words of a line that known items make up."""
-        parts, n, hit = pieces(t), 0, 0
-        for p in parts:
+        n, hit = 0, 0
+        for p in pieces(t):
             w = p.split()
             n += len(w)
-            if p in items:
+            if item(p) or digest(p) in own.items:
                 hit += len(w)
                 continue
             i = 0
             while i < len(w):
-                k = next((k for k in range(min(5, len(w) - i), 0, -1) if " ".join(w[i : i + k]).strip(":,") in items), 0)
+                k = next((k for k in range(min(5, len(w) - i), 0, -1) if item(" ".join(w[i : i + k]).strip(":,"))), 0)
                 hit += k
                 i += k or 1
         return hit / n if n else 0.0
 
-    order = {i: k for k, i in enumerate(live)}
-
     def near(i: int) -> bool:
         """Whether a line beside line ``i`` is known; a single word alone may be an entry of a list."""
-        beside = [live[k] for k in (order[i] - 1, order[i] + 1) if 0 <= k < len(live)]
-        return any(toks[x] in own or toks[x] in items for x in beside)
+        return any(live[k] in known for k in (order[i] - 1, order[i] + 1) if 0 <= k < len(live))
+
+    def trail(i: int) -> bool:
+        """Whether a line is a node with more behind it, or leads over nodes to a title."""
+        cuts = [m.span() for m in re.finditer(r"\s+[›»>/|·]\s+", toks[i])]
+        if any(digest(toks[i][:a].rstrip(" :")) in own.items for a, _ in cuts[-3:] if a):
+            return True
+        parts = [toks[i][a:b] for a, b in zip([0, *(b for _, b in cuts)], [a for a, _ in cuts])]
+        return len(parts) > 1 and 2 * sum(digest(p) in own.items or item(p) for p in parts) > len(parts)
 
     out: set[int] = set()
     for i in live:
         t, r = toks[i], raws[i]
-        prose = _sentence(r)
-        if _heading_mark(r):
+        if i in nodes and (" " in t or item(t) or near(i)):
+            out.add(i)
             continue
-        if t in own and (" " in t or t in items or near(i)) and not (prose and not (reader.search(r) or notice.search(r))):
+        if i in heading:
+            continue
+        prose = i in sentence
+        if not prose and own.items and trail(i):
             out.add(i)
-        elif notice.search(r) and not (prose and len(_words(r)) > 14 * len(notice.findall(r)) and not reader.search(r) and "©" not in r):
+        elif noticed[i] and notice.search(r) and not (prose and len(_words(r)) > 14 * len(notice.findall(r)) and not reader.search(r) and "©" not in r):
             out.add(i)
-        elif appeal.search(r) and reader.search(r) and len(appeal.findall(r)) * 12 >= len(_words(r)) - 8:
+        elif reader.search(r) and appeal.search(r) and len(appeal.findall(r)) * 12 >= len(_words(r)) - 8:
             out.add(i)
-        elif t in items or OWN_ITEM.match(t) or (not prose and "#" not in t and len(pieces(t)) + len(t.split()) > 2 and covered(t) >= 0.5):
+        elif item(t) or words.own.match(t):
             out.add(i)
-        elif not prose and re.search(r"\s[›»>/]\s", r) and covered(pieces(t)[0]) + (pieces(t)[0] in own) > 0.3:
+        elif not prose and "#" not in t and len(pieces(t)) + len(t.split()) > 2 and covered(t) >= 0.5:
             out.add(i)
-        elif not prose and "#" not in t and len(pieces(t)) >= 3 and len(t.split()) <= 3 * len(pieces(t)) and sum(p in items for p in pieces(t)) >= 1:
+        elif not prose and re.search(r"\s[›»>/]\s", r) and covered(pieces(t)[0]) + (digest(pieces(t)[0]) in own.items) > 0.3:
+            out.add(i)
+        elif not prose and "#" not in t and len(pieces(t)) >= 3 and len(t.split()) <= 3 * len(pieces(t)) and any(map(item, pieces(t))):
             out.add(i)
-
-    def body(i: int) -> bool:
-        return i not in out
 
     # Runs of short lines among which are items of menus: those between them, and at a page's start
     # a few at the ends, are the site's own items.
     def short(i: int) -> bool:
-        return len(toks[i].split()) <= 3 and not re.search(r"[.!?,;]$|[;|()\t\d]|\s{3,}", raws[i]) and not _heading_mark(raws[i])
+        return len(toks[i].split()) <= 3 and i not in heading and not re.search(r"[.!?,;]$|[;|()\t\d]|\s{3,}", raws[i])
 
     k = 0
     while k < len(live):
@@ -217,18 +246,18 @@ def furniture(lines: list[str], own: set[str], pool: set[str]) -> list[int]:
         while j < len(live) and short(live[j]):
             j += 1
         run = live[k:j]
-        known = [n for n, i in enumerate(run) if (toks[i] in items or toks[i] in own or OWN_ITEM.match(toks[i])) and toks[i] not in teaser_heads]
-        if len(known) >= 2 or known and len(run) == 2:
-            a, b = known[0], known[-1]
+        found = [n for n, i in enumerate(run) if (i in known or words.own.match(toks[i])) and toks[i] not in words.teasers and i not in opening]
+        if len(found) >= 2 or found and len(run) == 2:
+            a, b = found[0], found[-1]
             if k == 0:
                 a, b = (0 if a <= 4 else a), (len(run) - 1 if len(run) - 1 - b <= 3 else b)
-            marks = {raws[run[n]][:1] for n in known}
-            gaps = [y - x for x, y in zip(known, known[1:])]
-            if max(gaps, default=1) <= 6 or k == 0 and len(known) * 4 >= b - a + 1:
+            marks = {raws[run[n]][:1] for n in found}
+            gaps = [y - x for x, y in zip(found, found[1:])]
+            if max(gaps, default=1) <= 6 or k == 0 and len(found) * 4 >= b - a + 1:
                 out.update(i for i in run[a : b + 1] if raws[i][:1] in marks or raws[i][:1].isalnum() and any(m.isalnum() for m in marks))
         k = max(j, k + 1)
     # Teasers: what follows their heading up to the first line that can't be a title.
-    text = " ".join(raws[i] for i in live if body(i) and _sentence(raws[i])).lower()
+    text = " ".join(raws[i] for i in live if i not in out and i in sentence).lower()
 
     def of_text(i: int) -> bool:
         """Whether the nouns of a headline occur in the page's prose."""
@@ -237,54 +266,180 @@ def furniture(lines: list[str], own: set[str], pool: set[str]) -> list[int]:
 
     for k, i in enumerate(live):
         r = raws[i]
-        opens = toks[i] in teaser_heads or any(toks[i] == h or toks[i].startswith(h + ":") for h in teaser_heads)
         rest = live[k + 1 :]
-        if not opens:
-            if not (_headline(r, toks[i]) or r.endswith(":") and len(toks[i].split()) > 1 and r[:1].isalpha()) or _heading_mark(r) or len(toks[i].split()) > 6:
+        if not (i in opening or toks[i] in words.teasers or toks[i].partition(":")[0] in words.teasers):
+            if i in heading or len(toks[i].split()) > 6 or not (i in title or r.endswith(":") and len(toks[i].split()) > 1 and r[:1].isalpha()):
                 continue
-            n = next((n for n, x in enumerate(rest) if not (_headline(raws[x], toks[x]) and not _heading_mark(raws[x]) and x not in out)), len(rest))
+            n = next((n for n, x in enumerate(rest) if x not in title or x in out), len(rest))
             quoted = any(raws[x].startswith(("»", "›", "→", "➤")) for x in rest[:n])
             if not (n >= 2 and quoted or n >= 3 and text and len(toks[i].split()) <= 4 and not any(of_text(x) for x in rest[: n - 1])):
                 continue
         first = True
-        for x in rest:
-            if _heading_mark(raws[x]) or not _headline(raws[x], toks[x]):
-                break
-            after = live[order[x] + 1] if order[x] + 1 < len(live) else None
-            if after is not None and raws[after][:1].islower():
+        for n, x in enumerate(rest):
+            after = rest[n + 1] if n + 1 < len(rest) else None
+            if x not in title or after is not None and raws[after][:1].islower():
                 break
-            if not first and after is not None and after not in out and _sentence(raws[after]) and of_text(x) and not raws[x].startswith("»"):
+            if not first and after is not None and after not in out and after in sentence and of_text(x) and not raws[x].startswith("»"):
                 break
             out.add(x)
             first = False
         out.add(i)
     # A trail repeats the menu before the page's title.
     for i in live:
-        if i not in out and not _sentence(raws[i]) and re.search(r"\s[›>/»]\s", raws[i]) and len(pieces(toks[i])) >= 3:
+        if i not in out and i not in sentence and re.search(r"\s[›>/»]\s", raws[i]) and len(pieces(toks[i])) >= 3:
             out.add(i)
     # Without a line of an article's form nothing is left of the page.
-    if not any(i not in out and (_sentence(raws[i]) or re.search(r"\t|\s{3,}|\||^[-*•–]", raws[i])) for i in live):
-        rest = [i for i in live if i not in out]
-        if len(rest) * 4 <= len(live) and len(rest) <= 3:
-            out |= set(rest)
+    rest = [i for i in live if i not in out]
+    if len(rest) * 4 <= len(live) and len(rest) <= 3 and not any(i in sentence or re.search(r"\t|\s{3,}|\||^[-*•–]", raws[i]) for i in rest):
+        out |= set(rest)
     return sorted(out)
 
 
+STREAM = "site string, h long, lines int, tokens array<long>, parts array<array<long>>"
+WRAPPER = "site string, pages int, part int, tokens array<long>, support array<int>, repeats array<int>, framed array<int>, opens array<int>, items array<array<long>>"
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams of pages: tokens as numbers, and for lines of several items (but prose) the items' numbers."""
     for b in batches:
-        toks = [[token(x) for x in t.split("\n") if x.strip()] for t in b.column(2).to_pylist()]
-        hosts = [site(u) for u in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts, pa.string()), pa.array(toks, pa.list_(pa.string())), b.column(2)], ["key", "site", "tokens", "text"])
+        rows = []
+        for url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if not (host := site(url)):
+                continue
+            tokens, parts = [], []
+            for raw in map(plain, text.split("\n")):
+                if raw:
+                    tok = _token(raw)
+                    kind = _shape(raw, tok)
+                    own = pieces(tok) if kind != align.PROSE else []
+                    tokens.append(digest(tok) | kind)
+                    parts.append([digest(x) for x in own if re.search(r"[^\W\d_]{2}", x)] if len(own) > 1 else None)
+            rows.append((host, xxhash.xxh3_64_intdigest(repr(tokens)) - (1 << 63), len(tokens), tokens, parts))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 5, (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))))], ["site", "h", "lines", "tokens", "parts"])
+
+
+def _row(host: str | None, part: int, w: align.Wrapper, items: dict[int, list[int]]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    lists = [pa.array([x], pa.list_(k)) for x, k in zip((w.tokens, w.support, w.repeats, w.framed, w.opens), kinds)]
+    return pa.table([pa.array([host], pa.string()), pa.array([w.pages], pa.int32()), pa.array([part], pa.int32()), *lists, pa.array([[items.get(t & ~align.STRONG) for t in w.tokens]], pa.list_(pa.list_(pa.int64())))], ["site", "pages", "part", "tokens", "support", "repeats", "framed", "opens", "items"])
+
+
+def _infer(pages: pa.Table) -> pa.Table:
+    """Wrapper of one group of a site's pages."""
+    streams = sorted(pages["tokens"].to_pylist())
+    items = {t & ~align.STRONG: p for ts, ps in zip(pages["tokens"].to_pylist(), pages["parts"].to_pylist()) for t, p in zip(ts, ps) if p and align.known(t)}
+    return _row(pages["site"][0].as_py(), pages["part"][0].as_py(), align.infer(streams), items)
+
+
+def _merge(groups: pa.Table) -> pa.Table:
+    """One wrapper of up to ``BUCKET`` of a site."""
+    rows = sorted(groups.to_pylist(), key=lambda r: r["part"])
+    parts = [align.Wrapper(r["tokens"], r["support"], r["repeats"], r["framed"], r["opens"], r["pages"]) for r in rows]
+    items = {t & ~align.STRONG: p for r in rows for t, p in zip(r["tokens"], r["items"]) if p}
+    w = align.merge(parts).kept(2) if len(parts) > 1 else parts[0]
+    return _row(rows[0]["site"], rows[0]["part"] // BUCKET, w, items)
+
+
+def wrappers(pages: DataFrame, url: str, text: str) -> DataFrame:
+    """``site, tokens, support, opens, items``: the wrapper of each site with at least two different pages.
+
+    Only numbers travel: a page is its lines' digests. Pages with equal streams are one page, as copies
+    show no constants. A token is a constant of its site if at least two pages and the share ``SUPPORT``
+    hold it, and a candidate from two pages and the share ``LEAST`` on; all other lines are left as
+    bare shapes. Then the pages of a site are aligned in groups of about ``BUCKET``, and the
+    groups' wrappers in rounds of as many, so no task holds more than that of any site.
+    Sites of a hundredth of all pages or more are salted in the join.
+    """
+    seen = pages.select(F.col(url), F.col(text)).mapInArrow(_streams, STREAM)
+    distinct = checkpointed(seen.groupBy("site", "h").agg(F.first("lines").alias("lines"), F.first("tokens").alias("tokens"), F.first("parts").alias("parts")))
+    sizes = checkpointed(distinct.groupBy("site").agg(F.count("*").alias("n"), F.sum("lines").alias("lines")).filter("n > 1"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    shares = lambda df: df.join(F.broadcast(sizes.filter(F.col("n") >= HOT * total).select("site", F.ceil(F.lit(64) * F.col("n") / F.lit(total)).cast("int").alias("shares"))), "site", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    tokens = distinct.select("site", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("site", "t").agg(F.count("*").alias("df")).filter("df > 1")
+    large = F.broadcast(sizes.filter(F.col("n") >= HOT * total).select("site", F.col("n").alias("_n")))
+    tokens = tokens.join(large, "site", "left").filter(F.col("_n").isNull() | (F.col("df") >= LEAST * F.col("_n"))).drop("_n").join(sizes, "site")
+    tokens = tokens.filter(F.col("df") >= LEAST * F.col("n")).groupBy("site", "n", "lines").agg(F.collect_list(F.when(F.col("df") >= SUPPORT * F.col("n"), F.col("t"))).alias("strong"), F.collect_list(F.when(F.col("df") < SUPPORT * F.col("n"), F.col("t"))).alias("weak"))
+    tokens = tokens.withColumn("buckets", F.greatest(F.ceil(F.col("n") / BUCKET), F.ceil(F.col("lines") / BUCKET_LINES)).cast("int")).drop("n", "lines")
+    tokens = checkpointed(shares(tokens).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares"))
+    groups = tokens.agg(F.max("buckets")).first()[0] or 0
+    salted = shares(distinct.select("site", "h", "tokens", "parts")).withColumn("salt", F.pmod("h", F.col("shares")).cast("int")).drop("shares")
+    marked = salted.join(tokens, ["site", "salt"]).select(
+        "site", F.pmod(F.shiftright("h", 16), F.col("buckets")).cast("int").alias("part"),
+        F.transform("tokens", lambda t: F.when(F.array_contains("strong", t), t.bitwiseOR(F.lit(align.STRONG).cast("long"))).when(F.array_contains("weak", t), t).otherwise(t.bitwiseAND(F.lit(3).cast("long")))).alias("tokens"), "parts",
+    )
+    found = marked.groupBy("site", "part").applyInArrow(_infer, WRAPPER)
+    while groups > 1:
+        found = found.groupBy("site", F.floor(F.col("part") / BUCKET).alias("group")).applyInArrow(_merge, WRAPPER)
+        groups = -(-groups // BUCKET)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                w = align.Wrapper(r["tokens"], r["support"], r["repeats"], r["framed"], r["opens"], r["pages"])
+                tokens, support, opens = align.settled(w)
+                left = set(tokens)
+                out.append((r["site"], tokens, support, opens, sorted({x for t, p in zip(r["tokens"], r["items"]) if p and t & ~align.STRONG in left for x in p})))
+            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 5, kinds)], ["site", "tokens", "support", "opens", "items"])
+
+    return checkpointed(found.mapInArrow(settle, "site string, tokens array<long>, support array<int>, opens array<boolean>, items array<long>").filter(F.size("tokens") > 0))
+
 
+def shared_items(found: DataFrame) -> frozenset[int]:
+    """Digests of the items that the wrappers of at least three sites and the share ``POOL`` of all hold; of single words, ``POOL_WORD``.
+
+    There are at most (items a site) / ``POOL``, which bounds what is collected and sent to the tasks.
+    """
+    sites = found.count()
+    lines = F.transform("tokens", lambda t: t.bitwiseAND(F.lit(~7).cast("long")))
+    counts = found.select(F.explode(F.array_distinct(F.concat(lines, "items"))).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    several = F.col("item").bitwiseAND(F.lit(8).cast("long")) > 0
+    return frozenset(r[0] for r in counts.filter(F.col("n") >= F.when(several, max(3.0, POOL * sites)).otherwise(max(3.0, POOL_WORD * sites))).select("item").toLocalIterator())
 
-def _wrapper(pages: pa.Table) -> pa.Table:
-    """Wrapper of one bucket; pages with equal streams are one page, as copies show no constants."""
-    streams = sorted({tuple(x) for x in pages["tokens"].to_pylist()})
-    rows = infer([list(x) for x in streams], 2 if pages["buckets"][0].as_py() == 1 else 1)
-    return pa.table({"site": pa.array([pages["site"][0].as_py()] * len(rows), pa.string()), "token": pa.array([t for t, _ in rows], pa.string()), "support": pa.array([n for _, n in rows], pa.int64())})
 
+def map_pages(pages: DataFrame, key: str, url: str, text: str, row: Callable[[object, list[str], list[int]], tuple], schema: str, kinds: list[pa.DataType], lists: bool = True) -> DataFrame:
+    """``row(key, lines, outside)`` of every page with a key and a text, repeated rows too; see ``page_lines``.
+
+    Texts move once, to the wrapper of their site. The wrappers of sites with the share ``HOT`` of all rows are
+    sent to all tasks; rows of these and of unknown sites are dealt out by their number.
+    """
+    usable = pages.filter(F.col(key).isNotNull() & F.col(text).rlike(r"\S"))
+    found = wrappers(usable, url, text)
+    pool = shared_items(found)
+    rows = usable.select(F.col(key).alias("key"), F.col(text).alias("text"), _host(F.col(url)).alias("site"))
+    spark = pages.sparkSession
+    counts = checkpointed(rows.groupBy("site").count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r[0] for r in counts.filter(F.col("site").isNotNull() & (F.col("count") >= HOT * total)).collect()]
+    known = {r[0]: r[1:] for r in found.filter(F.col("site").isin(hot)).collect()} if hot else {}
+    shared = spark.sparkContext.broadcast((pool, known))
+    dealt = F.concat(F.lit("#"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+    alone = F.col("site").isNull() | F.col("site").isin(hot) if hot else F.col("site").isNull()
+    rows = rows.withColumn("at", F.when(alone, dealt).otherwise(F.col("site"))).repartition(width(spark), "at")
+    joined = rows.join(found.withColumnRenamed("site", "at"), "at", "left").select("key", "text", "site", "tokens", "support", "opens", "items")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, known = shared.value
+        words, sites = Words(pool, lists), {s: Site(*x) for s, x in known.items()}
+        none, last = Site(), (None, Site())
+        for b in batches:
+            out = []
+            plains = [[plain(x) for x in t.split("\n")] for t in b.column(1).to_pylist()]
+            noticed = iter(words.noticed([x for p in plains for x in p]))
+            for k, t, s, *x, p in zip(*(b.column(c).to_pylist() for c in range(7)), plains):
+                own = sites.get(s, none)
+                if x[0] is not None:
+                    last = last if last[0] == s else (s, Site(*x))
+                    own = last[1]
+                out.append(row(k, t.split("\n"), furniture(p, own, words, list(islice(noticed, len(p))))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out)) or [[]] * len(names), [b.schema.field(0).type, *kinds])], names)
 
-def page_lines(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
+    return joined.mapInArrow(label, schema)
+
+
+def page_lines(pages: DataFrame, key: str, url: str, text: str, lists: bool = True) -> DataFrame:
     """``key, text, outside``: each distinct page with the numbers of its lines outside the main body.
 
     ``outside`` numbers lines from 0, blank lines included in the numbering but never listed. Rows
@@ -292,54 +447,17 @@ def page_lines(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
     page of an unknown site (null or unreadable URL) or of a site with one page is judged by what
     the wrappers of other sites have in common.
 
-    Pages of a site meet in buckets of about ``BUCKET`` pages (a large site has many), where their
-    lines are counted by token: pages with equal streams of tokens count as one, in the support
-    as in the size of the site. A token stays if at least two pages and the share ``SUPPORT`` of
-    the site's pages hold it; on a large site also if ``FRAMED`` pages hold it and it stands
-    between constants in three of four of them. Items that the wrappers of at least
-    three sites and the share ``POOL`` of all sites hold are furniture anywhere; of these there
-    are at most (tokens a site) / ``POOL``, which bounds what is collected and sent to the tasks.
+    The wrapper of each site (``wrappers``) is matched against its pages; what lies in its slots is
+    the body. Lines of slots are outside only if items of other sites' wrappers, fixed words (none if not
+    ``lists``) or their form say so.
     """
-    rows = pages.filter(F.col(key).isNotNull() & F.col(text).rlike(r"\S")).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(text).alias("text"))
-    rows = rows.withColumn("_d", F.xxhash64("text")).dropDuplicates(["key", "_d"]).drop("_d")
-    kind = rows.schema["key"].dataType.simpleString()
-    streams = balanced(rows).mapInArrow(_streams, f"key {kind}, site string, tokens array<string>, text string")
-    streams = checkpointed(streams)
-    # Copies of a page show no constants, so neither support nor the size of a site counts them.
-    distinct = streams.filter("site is not null").withColumn("h", F.xxhash64("tokens")).groupBy("site", "h").agg(F.first("tokens").alias("tokens"), F.count("*").alias("pages"))
-    sizes = distinct.groupBy("site").agg(F.count("*").alias("n"), F.sum("pages").alias("pages")).filter("n > 1")
-    sizes = checkpointed(sizes.select("site", "n", F.ceil(F.col("n") / BUCKET).cast("int").alias("buckets"), F.ceil(F.col("pages") / BUCKET).cast("int").alias("shares")))
-    bucketed = distinct.select("site", "h", "tokens").join(sizes, "site").withColumn("bucket", F.pmod("h", F.col("buckets")).cast("int"))
-    parts = bucketed.select("site", "bucket", "buckets", "tokens").groupBy("site", "bucket").applyInArrow(_wrapper, "site string, token string, support long")
-    constants = parts.groupBy("site", "token").agg(F.sum("support").alias("support")).join(sizes, "site")
-    constants = checkpointed(constants.filter((F.col("support") >= 2) & (F.col("support") >= SUPPORT * F.col("n"))).select("site", "token", "buckets", "shares"))
-
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(s, t, int(f)) for s, x, o in zip(*(b.column(c).to_pylist() for c in range(3))) for t, f in framed(x, set(o)).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string()), pa.array([r[2] for r in found], pa.int64())], ["site", "token", "framed"])
-
-    # Sites of which the share asks for more than FRAMED pages.
-    large = constants.join(sizes.filter(F.col("n") * SUPPORT > FRAMED).select("site"), "site").groupBy("site", "buckets").agg(F.collect_set("token").alias("own"))
-    large = large.select("site", "own", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
-    seen = bucketed.select("site", "bucket", "tokens").join(large, ["site", "bucket"]).select("site", "tokens", "own").mapInArrow(frames, "site string, token string, framed long")
-    seen = seen.groupBy("site", "token").agg(F.sum("framed").alias("framed"), F.count("*").alias("support"))
-    rarer = seen.filter((F.col("framed") >= FRAMED) & (4 * F.col("framed") >= 3 * F.col("support"))).join(sizes, "site").select("site", "token", "buckets", "shares")
-    constants = checkpointed(constants.unionByName(rarer))
-    sites = constants.select("site").distinct().count()
-    items = constants.withColumn("item", F.explode(F.concat(F.array("token"), F.split("token", r"\s*[|·•›☰]\s*|\s[–/>]\s")))).filter(F.col("item").rlike(r"\p{L}{2}"))
-    pool = items.groupBy("item").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= F.when(F.col("item").contains(" "), max(3, POOL * sites)).otherwise(max(3, POOL_WORD * sites)))
-    # Of titles that pages of a site share by chance most have a number or a name; furniture is in many sites.
-    shared = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in pool.select("item").toLocalIterator()))
+    kind = pages.schema[key].dataType.simpleString()
+    out = map_pages(pages, key, url, text, lambda k, lines, outside: (k, "\n".join(lines), outside), f"key {kind}, text string, outside array<int>", [pa.string(), pa.list_(pa.int32())], lists)
+    return out.withColumn("_d", F.xxhash64("text")).dropDuplicates(["key", "_d"]).drop("_d").withColumnRenamed("key", key)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [furniture(t.split("\n"), set(o or ()), shared.value) for t, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "text", "outside"])
-
-    own = constants.groupBy("site", "shares").agg(F.collect_set("token").alias("own"))
-    own = own.select("site", "own", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("bucket"))
-    dealt = streams.join(sizes, "site").withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
-    known = dealt.select("key", "text", "site", "bucket").join(own, ["site", "bucket"], "left").select("key", "text", "own")
-    alone = streams.join(sizes, "site", "left_anti").select("key", "text", F.lit(None).cast("array<string>").alias("own"))
-    return balanced(known.unionByName(alone)).mapInArrow(label, f"key {kind}, text string, outside array<int>").withColumnRenamed("key", key)
+
+def outside_lines(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
+    """``key, line_no``: the lines of ``page_lines`` that are outside the main body, one row each."""
+    kind = pages.schema[key].dataType.simpleString()
+    out = map_pages(pages, key, url, text, lambda k, _, outside: (k, outside), f"key {kind}, outside array<int>", [pa.list_(pa.int32())])
+    return out.select(F.col("key").alias(key), F.explode("outside").alias("line_no")).distinct()

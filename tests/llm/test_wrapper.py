@@ -1,6 +1,6 @@
 import random
 
-from lexisift.llm import wrapper
+from lexisift.llm import align, wrapper
 
 NOUNS = "Lampen Brücken Mauern Schrauben Segel Kisten Pinsel Räder".split()
 
@@ -18,10 +18,83 @@ def page(host: int, n: int) -> tuple[str, set[int]]:
     return "\n".join(lines), outside
 
 
-def test_infer_keeps_what_pages_share():
-    got = wrapper.infer([["nav", "a1", "foot"], ["nav", "opt", "b1", "foot"], ["nav", "nav", "opt", "c1", "foot"]])
-    assert got == [("nav", 3), ("opt", 2), ("foot", 3)]
-    assert wrapper.infer([]) == [] and wrapper.infer([["x"]]) == []
+def number(n: int, shape: int = align.OTHER) -> int:
+    return 16 * n | align.STRONG | shape
+
+
+NAV, BAR, OFFER, HEAD, FOOT = (number(n) for n in range(1, 6))
+BODY, ROW = align.PROSE, align.TITLE
+
+
+def test_optionals_and_slots():
+    w = align.infer([[NAV, BODY, OFFER, FOOT], [NAV, BAR, BODY, OFFER, BODY, FOOT], [NAV, OFFER, BODY, BAR, FOOT], [BAR, OFFER, BODY, FOOT]])
+    # BAR stands before and behind OFFER: two optional nodes.
+    assert w.tokens == [NAV, BAR, OFFER, BAR, FOOT] and w.support == [3, 2, 4, 1, 4]
+    assert align.infer([]).tokens == [] and align.settled(align.infer([[BODY]]))[0] == []
+
+
+def test_order_counts():
+    pages = [[NAV, BODY, OFFER, BODY, BAR, BODY, FOOT] for _ in range(6)]
+    tokens, support, opens = align.settled(align.infer(pages))
+    strip = lambda *x: [t & ~align.STRONG for t in x]
+    assert tokens == strip(NAV, OFFER, BAR, FOOT)
+    assert align.parse(tokens, support, opens, strip(NAV, BODY, OFFER, BAR, FOOT))[0] == {0, 2, 3, 4}
+    # A token out of the wrapper's order is text of a slot.
+    assert align.parse(tokens, support, opens, strip(NAV, FOOT, BODY, BODY, OFFER, BAR, FOOT))[0] == {0, 4, 5, 6}
+    rng = random.Random(1)
+    mixed = [rng.sample(p, len(p)) for p in pages]
+    assert align.infer(mixed).support != align.infer(pages).support
+
+
+def test_repeated_groups():
+    w = align.infer([[NAV, BAR, NAV, BAR, BODY, FOOT], [NAV, BAR, BODY, FOOT], [NAV, BAR, NAV, BAR, NAV, BAR, BODY, FOOT]])
+    assert w.tokens == [NAV, BAR, FOOT] and w.support == [3, 3, 3] and w.repeats == [2, 2, 0]
+    nodes = align.settled(w)
+    assert align.parse(*nodes, [t & ~align.STRONG for t in (NAV, BAR, NAV, BAR, BODY, FOOT)])[0] == {0, 1, 2, 3, 5}
+    titles = [[NAV, BODY, HEAD, *[ROW] * n, FOOT] for n in (2, 3, 5)]
+    tokens, support, opens = align.settled(align.infer(titles))
+    assert opens == [False, False, True, False][-len(opens) :] and opens[tokens.index(HEAD & ~align.STRONG)]
+
+
+def test_merged_groups_equal_one_group():
+    pages = [[NAV, *([BAR] if n % 3 else []), BODY, *([OFFER] if n % 2 else []), BODY, FOOT] for n in range(60)]
+    whole, parts = align.infer(pages), align.merge([align.infer(pages[n : n + 10]) for n in range(0, 60, 10)])
+    assert (parts.tokens, parts.support, parts.framed, parts.pages) == (whole.tokens, whole.support, whole.framed, 60)
+
+
+def invented(host: int, n: int, rng: random.Random, names: dict) -> tuple[str, set[int]]:
+    """A page in a language that no list knows: menu, trail, bar, teasers and foot around prose."""
+    word = lambda: "".join(rng.choice("ptkmnlsr") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    say = lambda k: (" ".join(word() for _ in range(k))).capitalize()
+    own = names.setdefault(host, {k: say(m) for k, m in {"nav": 7, "bar": 3, "ask": 9, "head": 3, "foot": 6, "end": 4, "no": 2}.items()})
+    title, lines = say(5), []
+    add = lambda kind, *x: lines.extend((kind, y) for y in x)
+    add(1, own["nav"])
+    if rng.random() < 0.5:
+        add(1, f"{own['nav']} › {say(1)} › {title}")
+    if rng.random() < 0.5:
+        add(1, own["ask"] + ".", own["no"])
+    add(0, title, *(f"{say(9)}. {say(7)}." for _ in range(3)))
+    if rng.random() < 0.6:
+        add(1, own["bar"])
+    add(0, *(f"{say(9)}. {say(7)}." for _ in range(2)))
+    if rng.random() < 0.6:
+        add(1, own["head"], *(say(4) for _ in range(rng.randint(2, 5))))
+    add(1, own["foot"], f"© 20{rng.randint(10, 25)} {own['end']}")
+    return "\n".join(x for _, x in lines), {i for i, (k, _) in enumerate(lines) if k}
+
+
+def test_without_any_word_list(spark):
+    rng, names, rows, want = random.Random(8), {}, [], {}
+    for host, pages in enumerate((200, 60, 25, 12, 8, 5, 3, 2, 2)):
+        for n in range(pages):
+            text, outside = invented(host, n, rng, names)
+            rows.append((f"{host}-{n}", f"https://h{host}.example/{n}", text))
+            want[f"{host}-{n}"] = outside
+    df = spark.createDataFrame(rows, "id string, source_url string, text string")
+    got = {r.id: set(r.outside) for r in wrapper.page_lines(df, "id", "source_url", "text", lists=False).collect()}
+    hits = sum(len(got[k] & want[k]) for k in want)
+    assert hits / sum(map(len, want.values())) > 0.95 and hits / sum(map(len, got.values())) > 0.97
 
 
 def test_site_names():
