@@ -194,7 +194,7 @@ def settled(w: Wrapper) -> tuple[list[int], list[int], list[bool]]:
     def stays(t: int) -> bool:
         support, framed, _ = total[t]
         if t & STRONG:
-            return support >= min(w.pages, 3 if shape(t) in (PROSE, HEADING) else 2)
+            return support >= (3 if shape(t) in (PROSE, HEADING) else 2)
         return framed >= FRAMED and 4 * framed >= 3 * support
 
     w = w.kept(2)

@@ -205,7 +205,7 @@ def furniture(raws: list[str], own: Site, words: Words, noticed: list[bool]) ->
 
     def trail(i: int) -> bool:
         """Whether a line is a node with more behind it, or leads over nodes to a title."""
-        cuts = [m.span() for m in re.finditer(r"\s+[›»>/|·]\s+", toks[i])]
+        cuts = [m.span() for m in re.finditer(r"\s+[›»>/]\s+", toks[i])]
         if any(digest(toks[i][:a].rstrip(" :")) in own.items for a, _ in cuts[-3:] if a):
             return True
         parts = [toks[i][a:b] for a, b in zip([0, *(b for _, b in cuts)], [a for a, _ in cuts])]
