@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,12 @@ from lexisift.session import balanced, checkpointed, width
 
 #: Statistics and the tails that point away from prose: -1 low, 1 high, 0 both.
 STATISTICS = {"words": 0, "word_length": 0, "symbol_share": 1, "digit_share": 1, "ended_lines": -1, "common_share": -1, "line_words": -1, "distinct_words": -1}
+#: Statistics of the looks of a text's lines, and the form that each gives away.
+LOOKS = {"entry_share": "list", "row_share": "table", "noise_share": "junk", "repeated_share": "junk"}
+#: Share of a text's signs in lines of one look up to which it is a short list, a small table or some garbage in prose.
+SHORT = 0.25
+#: Shares of looks are rounded to this step, so there are at most 1 / STEP values of each.
+STEP = 0.001
 
 #: Words of a run whose distinct words are counted.
 WINDOW = 200
@@ -74,11 +82,16 @@ def _misread(line: str) -> bool:
     return len(tokens) >= 5 and 4 * inside >= len(tokens)
 
 
+def _machine(line: str) -> bool:
+    """Whether a line is of a log or a program: addresses, scoped names, calls and blocks."""
+    return bool(re.search(r"\b0x[0-9a-fA-F]{2,}\b|\w::\w|\w\.\w+\(.*\);|\)\s*\{.*\}\s*$", line))
+
+
 @lru_cache(4096)
 def _row(line: str) -> bool:
     """Whether a line is a row of fields or values."""
     s = line.strip()
-    if _misread(s) or len(re.findall(r"[~^<>@#&*\\_%]", s)) >= 3:
+    if _misread(s) or _machine(s) or len(re.findall(r"[~^<>@#&*\\_%]", s)) >= 3:
         return False
     if re.fullmatch(r"[|!{}+=-][|!{}+=\s-]*", s) or s.startswith(("|", "!")) and s.count("|") + s.count("!") >= 2:
         return True
@@ -102,7 +115,7 @@ def _noise(line: str) -> bool:
     words = re.findall(r"[^\W\d_]+", s)
     letters = sum(map(len, words))
     signs = len(re.sub(r"\s", "", s))
-    if _misread(s):
+    if _misread(s) or _machine(s):
         return True
     if not signs or letters * 2 < signs and len(re.findall(r"\d", s)) * 2 < signs or re.search(r"\S{40,}", s):
         return True
@@ -114,69 +127,111 @@ def _noise(line: str) -> bool:
     return len(long) >= 3 and odd * 3 >= len(long)
 
 
-def form(lines: list[str], title: bool = True) -> str | None:
-    """``list``, ``table`` or ``junk`` if most of a body isn't prose, else None.
+# What a line of plain prose never has; lines with none of it need no closer look.
+_ODD = re.compile(r"\w[!\"§|;,.^<>='’:]\w|\d[^\W\d_]|[^\W\d_]\d|^[!|]|[\t|]|;\S|\s{3}|[:=]\s*[\d.,]+\s*$|\d\D+\d\D+\d|[�\x80-\x9fÃÂ€¤¶¼¢]")
+_END = re.compile(r"[.!?…][\"”“»)]*(\s|$)")
+
 
-    Each line is judged by its own look; in doubt between an entry and prose, the share of
-    function words in the whole decides. The lines weigh by their signs.
+def looks(lines: list[str]) -> dict[str, float]:
+    """Shares of a body's signs that stand in lines of each look; lines in doubt are judged by the function words in them.
+
+    ``repeated_share`` is the share of words in runs of five words that occur three times or more, or
+    that one word has over a few others. Headings count for nothing. Shares up to ``SHORT`` and lists of one or two
+    entries are 0.
     """
     raw = [x for x in lines if x.strip()]
-    if not raw:
-        return None
     clean = [plain(x) if "\t" not in x else x for x in raw]
     words = re.findall(r"\w+", " ".join(clean).lower())
-    top = Counter(words).most_common(1)[0][1] if words else 0
-    # By windows, as a long text repeats its words anyway.
-    windows = [words[i : i + 100] for i in range(0, max(1, len(words) - 50), 100)]
-    fresh = sum(len(set(x)) / len(x) for x in windows if x) / len(windows)
-    if len(words) >= 20 and (top > 0.4 * len(words) and len(set(words)) <= max(8, 0.1 * len(words)) or fresh < 0.1):
-        return "junk"
-    pairs = Counter(zip(words, words[1:], words[2:], words[3:], words[4:]))
-    if len(words) >= 40 and sum(n for n in pairs.values() if n > 2) > 0.6 * len(words):
-        return "junk"
     # A sentence broken over several lines is put together before it is judged.
     blocks: list[str] = []
+    before = ""
     for c in clean:
-        joined = blocks and not _row(blocks[-1]) and not _row(c) and not re.search(r"[.!?:…][\"”“»]*$", blocks[-1])
-        if joined and not re.match(MARK, c) and (c[:1].islower() or blocks[-1].split()[-1] in OPEN_END or len(blocks[-1].split()) > 4 and len(c.split()) > 2) and not _noise(blocks[-1]):
+        open_end = before and not re.search(r"[.!?:…][\"”“»]*$", before) and not re.match(MARK, c) and not _row(before) and not _row(c)
+        if open_end and (c[:1].islower() or before.split()[-1] in OPEN_END or len(before.split()) > 4 and len(c.split()) > 2) and not _noise(blocks[-1]):
             blocks[-1] += " " + c
         else:
             blocks.append(c)
+        before = c
     weight: Counter = Counter()
-    for n, b in enumerate(blocks):
-        w = re.findall(r"\w+", b.lower())
-        common = sum(x in _COMMON for x in w) / max(1, len(w))
-        size = len(re.sub(r"\s", "", b))
-        sentence = bool(re.search(r"[.!?…][\"”“»)]*(\s|$)", b)) and len(w) >= 4 and common >= 0.08
-        if _row(b):
-            kind = "table"
-        elif _misread(b) or _noise(b) and not (sentence and common >= 0.15 and sum(map(_garbled, b.split())) * 4 < len(b.split())):
-            kind = "junk"
-        elif sentence or common >= 0.18 and len(w) >= 8:
-            kind = "prose"
-        elif re.match(r"(#{1,6}|={2,6})\s", b):
-            kind = "heading"
-        elif _entry(b):
-            kind = "list"
-        else:
-            kind = "prose" if common >= 0.1 else "junk"
-        weight[kind] += size
+    for b in blocks:
+        kind = _look(b)
+        weight[kind] += len(re.sub(r"\s", "", b))
         weight[f"{kind} lines"] += 1
-    kinds = {k: weight[k] for k in ("list", "table", "junk")}
-    best = max(kinds, key=lambda k: (kinds[k], k))
-    if kinds[best] == 0 or weight["prose"] >= sum(kinds.values()):
-        return None
+    total = sum(weight[k] for k in ("prose", "list", "table", "junk")) or 1
     # One short line is a title or a remark, not a list.
-    if best == "list" and weight["list lines"] < 3:
-        return None
-    return best
+    if weight["list lines"] < 3:
+        weight["list"] = 0
+    shares = {"entry_share": weight["list"] / total, "row_share": weight["table"] / total, "noise_share": weight["junk"] / total, "repeated_share": _repeated(words)}
+    return {k: round(v, 3) if v > SHORT else 0.0 for k, v in shares.items()}
+
+
+def _repeated(words: list[str]) -> float:
+    """Share of words that only repeat others."""
+    if len(words) < 20:
+        return 0.0
+    (_, top), known = Counter(words).most_common(1)[0], len(set(words))
+    if top > 0.4 * len(words) and known <= max(8, 0.1 * len(words)):
+        return 1.0
+    # By windows, as a long text repeats its words anyway.
+    windows = [words[i : i + 100] for i in range(0, max(1, len(words) - 50), 100)]
+    if sum(len(set(x)) / len(x) for x in windows) < 0.1 * len(windows):
+        return 1.0
+    if len(words) < 40 or known == len(words):
+        return 0.0
+    runs = Counter(zip(words, words[1:], words[2:], words[3:], words[4:]))
+    return min(1.0, sum(n for n in runs.values() if n > 2) / len(words))
+
+
+def _look(b: str) -> str:
+    """What a line, or the lines of a sentence, look like: prose, heading, list, table or junk."""
+    w = re.findall(r"\w+", b.lower())
+    common = sum(x in _COMMON for x in w) / max(1, len(w))
+    sentence = len(w) >= 4 and common >= 0.08 and bool(_END.search(b))
+    if sentence and common >= 0.15 and not _ODD.search(b):
+        return "prose"
+    if _row(b):
+        return "table"
+    if _misread(b) or _noise(b) and not (sentence and common >= 0.15 and sum(map(_garbled, b.split())) * 4 < len(b.split())):
+        return "junk"
+    if sentence or common >= 0.18 and len(w) >= 8:
+        return "prose"
+    if re.match(r"(#{1,6}|={2,6})\s", b):
+        return "heading"
+    return "list" if _entry(b) else "prose" if common >= 0.1 else "junk"
+
+
+def measure(text: str) -> tuple:
+    """Language and ``STATISTICS`` of a text."""
+    return spoken_language(text), *statistics(text).values()
+
+
+def inspect(text: str) -> tuple:
+    """Language and ``LOOKS`` of a text."""
+    return spoken_language(text), *looks(text.split("\n")).values()
+
+
+def measured(texts: DataFrame, key: str, text: str, by: Callable[[str], tuple], names: Iterable[str]) -> DataFrame:
+    """``key, lang`` and the figures ``names`` of each row with a non-blank text."""
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\S"))
+    columns = ["key", "lang", *names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list(zip(*map(by, b.column(1).to_pylist()))) or [[]] * (len(columns) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[0], pa.string()), *(pa.array(x, pa.float64()) for x in found[1:])], columns)
 
+    return balanced(rows).mapInArrow(run, ", ".join([f"key {rows.schema['key'].dataType.simpleString()}", "lang string", *(f"{k} double" for k in names)]))
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(1).to_pylist()
-        rows = [statistics(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([spoken_language(t) for t in texts], pa.string()), *(pa.array([r[k] for r in rows], pa.float64()) for k in STATISTICS)], ["key", "text", "lang", *STATISTICS])
+
+def _major(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with unknown languages counted to the most frequent one, and their number."""
+    langs = rows.groupBy("lang").count().collect()
+    major = max((r for r in langs if r["lang"]), key=lambda r: (r["count"], r["lang"]), default={"lang": "und"})["lang"]
+    return rows.withColumn("lang", F.coalesce("lang", F.lit(major))), sum(r["count"] for r in langs)
+
+
+def _long(rows: DataFrame, names: Iterable[str], *keys: str) -> DataFrame:
+    return rows.select(*keys, "lang", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("stat", "value"))
 
 
 def ranks(values: DataFrame) -> DataFrame:
@@ -224,27 +279,20 @@ def tails(low: str, high: str, total: str, side: int) -> F.Column:
     return left if side < 0 else right if side > 0 else F.least(2 * F.least(left, right), F.lit(1.0))
 
 
-def scored(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, text, lang``, the statistics and ``score`` of each row with a non-blank text.
+def ranked(rows: DataFrame, key: str = "key") -> DataFrame:
+    """``key, lang``, the statistics and ``score`` of each row of ``measured`` texts.
 
     The score adds the negative logarithms of the statistics' tail probabilities in the text's
     language, by exact ranks over all rows; by chance it is about the number of statistics.
     Texts in which hardly a word is a function word are ranked among those of the most frequent
-    language, as they have none of their own. Rows with a null or blank text have no row.
+    language, as they have none of their own.
 
-    A value that at least one in 200 rows shares has its ranks broadcast (at most 200 a statistic);
+    No text travels. A value that at least one in 200 rows shares has its ranks broadcast (at most 200 a statistic);
     the others are joined by value, so that no frequent value meets in one task.
     """
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\S"))
-    schema = ", ".join([f"key {rows.schema['key'].dataType.simpleString()}", "text string", "lang string", *(f"{k} double" for k in STATISTICS)])
-    measured = balanced(rows).mapInArrow(_measure, schema).withColumn("row", F.expr("uuid()"))
-    measured = checkpointed(measured)
-    langs = measured.groupBy("lang").count().collect()
-    total = sum(r["count"] for r in langs)
-    major = max((r for r in langs if r["lang"]), key=lambda r: (r["count"], r["lang"]), default={"lang": "und"})["lang"]
-    measured = measured.withColumn("lang", F.coalesce("lang", F.lit(major)))
-    long = measured.select("row", "lang", F.explode(F.map_from_arrays(F.array(*map(F.lit, STATISTICS)), F.array(*STATISTICS))).alias("stat", "value"))
-    placed = checkpointed(ranks(long))
+    rows, total = _major(checkpointed(rows.withColumn("row", F.expr("uuid()"))))
+    long = _long(rows, STATISTICS, "row")
+    placed = checkpointed(ranks(long.drop("row")))
     often = F.broadcast(placed.filter(F.col("n") >= max(2.0, total / 200)))
     first = long.join(often, ["lang", "stat", "value"], "left")
     on = ["lang", "stat", "value"]
@@ -252,21 +300,67 @@ def scored(texts: DataFrame, key: str, text: str) -> DataFrame:
     known = first.filter("n is not null").select("row", *on, "n", "below", "upto", "total").unionByName(rest.select("row", *on, "n", "below", "upto", "total"))
     tail = F.coalesce(*(F.when(F.col("stat") == k, tails("below", "upto", "total", side)) for k, side in STATISTICS.items()))
     scores = known.groupBy("row").agg(F.round(F.sum(-F.log(tail)), 6).alias("score"))
-    return measured.join(scores, "row").drop("row").withColumnRenamed("key", key)
+    return rows.join(scores, "row").drop("row").withColumnRenamed("key", key)
 
 
-def not_prose(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, form`` of the texts that are mostly not prose: ``list``, ``table`` or ``junk``.
+class Tails:
+    """Upper tail probabilities of the looks in each language, from exact ranks."""
+
+    def __init__(self, placed: Iterable[tuple[str, str, float, int, int]]):
+        found: dict[tuple[str, str], list[tuple[float, float]]] = {}
+        for lang, stat, value, below, total in placed:
+            found.setdefault((lang, stat), []).append((value, (total - below) / total))
+        self.values = {k: tuple(zip(*sorted(v))) for k, v in found.items()}
+
+    def at(self, lang: str, stat: str, value: float) -> float:
+        """Share of texts with at least ``value``."""
+        values, shares = self.values[lang, stat]
+        i = bisect_left(values, value)
+        return shares[i] if i < len(shares) else 0.0
+
+    def form(self, lang: str, figures: Iterable[float], half: float = 0.5) -> str | None:
+        """The form of a text whose score is beyond that of one with just more than ``half`` of its leading look, else None.
 
-    Every text is looked at line by line (``form``), so that its answer does not depend on the
-    other texts, as ranks and scores do. Rows with a null or blank text have none; repeated rows give one.
+        The score adds the negative logarithms of the looks' tail probabilities.
+        """
+        parts = {k: -log(self.at(lang, k, v)) if v else 0.0 for k, v in zip(LOOKS, figures)}
+        present = [k for k, v in zip(LOOKS, figures) if v]
+        if not present:
+            return None
+        lead = max(present, key=lambda k: parts[k])
+        border = self.at(lang, lead, half + STEP / 2)
+        return LOOKS[lead] if border and sum(parts.values()) >= -log(border) - 1e-12 else None
+
+
+def decided(rows: DataFrame, key: str = "key") -> DataFrame:
+    """``key, form`` of the texts that are mostly not prose: ``list``, ``table`` or ``junk``; ``rows`` are ``inspect``ed ones.
+
+    Each text has a score: the sum of the negative logarithms of its looks' tail probabilities, by exact ranks
+    among all texts of its language. It is an outlier if the score is at least that of a text with more than half
+    of its signs in the leading look, which names the form. So a text of one look is judged alike however many others
+    share it, and ranks decide where looks meet in one text.
+
+    The ranks of looks have at most 1 / ``STEP`` values a statistic and language, so they are sent to all tasks.
     """
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\S"))
     kind = rows.schema["key"].dataType.simpleString()
+    rows, _ = _major(checkpointed(rows.distinct()))
+    placed = ranks(_long(rows, LOOKS)).select("lang", "stat", "value", "below", "total").collect()
+    shared = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in placed])
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails_of = Tails(shared.value)
         for b in batches:
-            found = [form(t.split("\n")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["key", "form"])
+            found = [tails_of.form(lang, figures) for lang, *figures in zip(*(b.column(c).to_pylist() for c in ("lang", *LOOKS)))]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.string())], ["key", "form"])
+
+    return rows.mapInArrow(decide, f"key {kind}, form string").filter("form is not null").distinct().withColumnRenamed("key", key)
 
-    return balanced(rows).mapInArrow(look, f"key {kind}, form string").filter("form is not null").distinct().withColumnRenamed("key", key)
+
+def scored(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, lang``, the statistics and ``score`` of each row with a non-blank text (see ``ranked``); rows with a null or blank text have none."""
+    return ranked(measured(texts, key, text, measure, STATISTICS), key)
+
+
+def not_prose(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, form`` of the texts that are mostly not prose (see ``decided``); rows with a null or blank text have none, repeated rows give one."""
+    return decided(measured(texts, key, text, inspect, LOOKS), key)

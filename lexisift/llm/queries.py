@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexisift.llm import bpe, leaks, lookalike, pairs, quality, subjects, terms, wrapper
 from lexisift.session import table
@@ -42,14 +44,21 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_counts(table(spark, d, "mine_patterns"), "ngram", "run_id", ["ai_count", "human_count"])
 
 
-def bodies(spark: SparkSession, d: str) -> DataFrame:
-    """``key`` (table and id) and ``text``: main bodies of the two fetched tables; encyclopedia texts are all body."""
-    pages = wrapper.page_lines(table(spark, d, "fetch_de_human_corpus"), "id", "source_url", "text")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("outside", i), x)), lambda x: x.isNotNull())
-    named = lambda tbl: F.struct(F.lit(tbl).alias("tbl"), F.col("id").alias("id")).alias("key")
-    wiki = table(spark, d, "fetch_de_wikipedia_ai_tagged").select("id", "text").distinct()
-    both = pages.select(named("fetch_de_human_corpus"), F.array_join(lines, "\n").alias("text")).unionByName(wiki.select(named("fetch_de_wikipedia_ai_tagged"), "text"))
-    return both.select(F.to_json("key").alias("key"), "text")
+def bodies(spark: SparkSession, d: str, by: Callable[[str], tuple], names: list[str]) -> DataFrame:
+    """``key`` (table and id), ``lang`` and figures of the main bodies of the two fetched tables; encyclopedia texts are all body."""
+    pages, wiki = table(spark, d, "fetch_de_human_corpus"), table(spark, d, "fetch_de_wikipedia_ai_tagged")
+    columns = [T.StructField("key", T.StringType()), T.StructField("lang", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in names)]
+
+    def row(key: str, lines: list[str], outside: list[int]) -> tuple:
+        left = set(outside)
+        body = "\n".join(x for i, x in enumerate(lines) if i not in left)
+        return (key, *by(body)) if body.strip() else (key, None, *[None] * len(names))
+
+    schema = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in columns)
+    own = wrapper.map_pages(pages, "id", "source_url", "text", row, schema, [pa.string(), *[pa.float64()] * len(names)]).filter(F.col(names[0]).isNotNull())
+    other = quality.measured(wiki.select("id", "text").filter("id is not null").distinct(), "id", "text", by, names)
+    named = lambda df, tbl: df.withColumn("key", F.to_json(F.struct(F.lit(tbl).alias("tbl"), F.col("key").alias("id"))))
+    return named(own, "fetch_de_human_corpus").unionByName(named(other, "fetch_de_wikipedia_ai_tagged"))
 
 
 def _unkey(df: DataFrame) -> DataFrame:
@@ -58,11 +67,11 @@ def _unkey(df: DataFrame) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _unkey(quality.not_prose(bodies(spark, d), "key", "text"))
+    return _unkey(quality.decided(bodies(spark, d, quality.inspect, list(quality.LOOKS))))
 
 
 def p5_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _unkey(quality.scored(bodies(spark, d), "key", "text").drop("text"))
+    return _unkey(quality.ranked(bodies(spark, d, quality.measure, list(quality.STATISTICS)).distinct()))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
