@@ -19,6 +19,12 @@ LOOKALIKES = {
     "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v",
+    "ӏ": "l", "Ӏ": "I", "ѵ": "v", "Ѵ": "V", "ү": "y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ϲ": "C", "ϲ": "c", "Ϳ": "J", "ϳ": "j", "ɡ": "g", "ɑ": "a",
+    "օ": "o", "Օ": "O", "հ": "h", "ո": "n", "ս": "u", "Ս": "U", "Տ": "S", "ց": "g", "զ": "q", "յ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮤ": "W",
+    "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏻ": "G", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
+    "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     "‐": "-", "‑": "-",
 }
 # Characters that are their own form, whatever stands before them: the body of nearly all texts.
@@ -137,6 +143,37 @@ def same_look(texts: DataFrame, text: str = "text") -> DataFrame:
     return docs.join(forms, "digest", "left").select("digest", rebuilt.alias("form"))
 
 
+def _members(rows: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """``group, id, digest, form`` of each distinct record with a form that is not blank; written once, as it is read several times and small."""
+    keyed = rows.filter(F.col(text).isNotNull() & F.col(key).isNotNull() & F.col(group).isNotNull())
+    keyed = keyed.select(F.col(group).alias("group"), F.col(key).alias("id"), F.sha2(F.col(text).cast("binary"), 256).alias("digest"))
+    forms = same_look(rows, text).filter(F.col("form").rlike(r"(?U)\S")).select("digest", F.sha2(F.col("form").cast("binary"), 256).alias("form"))
+    return checkpointed(keyed.distinct().join(forms, "digest").select("group", "id", "digest", "form"))
+
+
+def look_classes(rows: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """``group, id, form, members, links``: each distinct record with the class of texts that look like its own.
+
+    ``form`` names the class (SHA-256 of the common form), which has ``members`` records; ``links`` of them
+    have another text than this one. So the pairs of ``look_pairs`` are told without listing them: their
+    number is half the sum of ``links``. Null, empty and blank texts and null keys have no row; a record
+    with two texts has a row for each.
+
+    Records are counted before they are shuffled. Counts of texts that a hundredth of all records share are
+    broadcast (at most 100), so no group of copies meets in one task.
+    """
+    member = _members(rows, group, key, text)
+    texts = checkpointed(member.groupBy("group", "form", "digest").agg(F.count("*").alias("same")))
+    sizes = texts.groupBy("group", "form").agg(F.sum("same").alias("members"))
+    counts = checkpointed(texts.join(sizes, ["group", "form"]).select("group", "digest", "members", (F.col("members") - F.col("same")).alias("links"), "same"))
+    total = counts.agg(F.sum("same")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("same") >= 0.01 * total).select("group", "digest", F.col("members").alias("m"), F.col("links").alias("l")))
+    marked = member.join(hot, ["group", "digest"], "left")
+    cold = marked.filter("m is null").drop("m", "l").join(counts.drop("same"), ["group", "digest"])
+    warm = marked.filter("m is not null").withColumnsRenamed({"m": "members", "l": "links"})
+    columns = ["group", "id", "form", "members", "links"]
+    return cold.select(columns).unionByName(warm.select(columns))
+
 
 def look_pairs(rows: DataFrame, group: str, key: str, text: str) -> DataFrame:
     """``group, id_a, id_b`` (``id_a`` < ``id_b``) of records of a group whose texts look the same but differ.
@@ -144,16 +181,15 @@ def look_pairs(rows: DataFrame, group: str, key: str, text: str) -> DataFrame:
     Rows that repeat a record count once; null, empty and blank texts (by their form) form no
     pairs, nor does a record with a null ``group`` or ``key``. The pairs are the asked-for result;
     they are made within sets of equal form that hold more than one text, joined on digests
-    (SHA-256), not on texts, and a skewed set is split by AQE.
+    (SHA-256), not on texts, and a skewed set is split by AQE. Where groups of copies are large, ``look_classes`` tells the same without listing pairs.
     """
-    keyed = rows.filter(F.col(text).isNotNull() & F.col(key).isNotNull() & F.col(group).isNotNull())
-    keyed = keyed.select(F.col(group).alias("group"), F.col(key).alias("id"), F.sha2(F.col(text).cast("binary"), 256).alias("digest"))
-    forms = same_look(rows, text).filter(F.col("form").rlike(r"(?U)\S")).select("digest", F.sha2(F.col("form").cast("binary"), 256).alias("form"))
-    # Written once: the join below reads it three times, and it is small (two digests and an id a record).
-    member = checkpointed(keyed.distinct().join(forms, "digest").select("group", "id", "digest", "form"))
-    several = member.groupBy("group", "form").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("group", "form")
-    member = member.join(several, ["group", "form"], "left_semi")
-    a, b = member.alias("a"), member.alias("b")
-    same = (F.col("a.group") == F.col("b.group")) & (F.col("a.form") == F.col("b.form"))
-    pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.digest") != F.col("b.digest")))
-    return pairs.select(F.col("a.group").alias("group"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    member = _members(rows, group, key, text)
+    # First the pairs of different texts, then their records: copies of one text are never compared with each other.
+    texts = member.select("group", "form", "digest").distinct()
+    several = texts.groupBy("group", "form").agg(F.count("*").alias("n")).filter("n > 1").select("group", "form")
+    texts = texts.join(several, ["group", "form"], "left_semi")
+    a, b = texts.withColumnRenamed("digest", "one"), texts.withColumnRenamed("digest", "two")
+    pairs = a.join(b, ["group", "form"]).filter(F.col("one") < F.col("two")).select("group", "one", "two")
+    pairs = pairs.join(member.select("group", F.col("digest").alias("one"), F.col("id").alias("x")), ["group", "one"])
+    pairs = pairs.join(member.select("group", F.col("digest").alias("two"), F.col("id").alias("y")), ["group", "two"]).filter("x <> y")
+    return pairs.select("group", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -23,16 +23,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.flagged(table(spark, d, "ai_career_01"), "id", "input", "reference_rewrite")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _looking(spark: SparkSession, d: str) -> DataFrame:
+    """``tbl, id, text`` of all cases and pages."""
     cases = table(spark, d, "pattern_019").select(F.explode("cases").alias("c")).select(F.lit("pattern_019").alias("tbl"), F.col("c.id").alias("id"), F.col("c.input").alias("text"))
     pages = table(spark, d, "fetch_de_human_corpus").select(F.lit("fetch_de_human_corpus").alias("tbl"), "id", "text")
-    return lookalike.look_pairs(cases.unionByName(pages), "tbl", "id", "text").withColumnRenamed("group", "tbl")
+    return cases.unionByName(pages)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_pairs(_looking(spark, d), "tbl", "id", "text").withColumnRenamed("group", "tbl")
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_classes(_looking(spark, d), "tbl", "id", "text").withColumnRenamed("group", "tbl")
 
 
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
-    cases = table(spark, d, "pattern_019").select(F.explode("cases").alias("c")).select(F.col("c.input").alias("text"))
-    pages = table(spark, d, "fetch_de_human_corpus").select("text")
-    return lookalike.same_look(cases.unionByName(pages), "text")
+    return lookalike.same_look(_looking(spark, d), "text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +99,7 @@ SELECT nfc_normalize(lower(trim(ngram))) AS term, CAST(sum(coalesce(ai_count, 0)
        CAST(count(DISTINCT run_id) AS BIGINT) AS records
 FROM (SELECT DISTINCT * FROM mine_patterns WHERE ngram IS NOT NULL) GROUP BY 1"""
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_stats": p5_stats, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p3_forms": p3_forms, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_stats": p5_stats, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL: dict[str, str] = {
     "p4_terms": TERMS_SQL,

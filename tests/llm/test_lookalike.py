@@ -51,3 +51,24 @@ def test_pairs(spark):
     got = {(r.group, r.id_a, r.id_b) for r in lookalike.look_pairs(df, "tbl", "id", "text").collect()}
     assert got == {("g", "1", "2"), ("g", "2", "3"), ("g", "8", "9")}
     assert lookalike.look_pairs(df.limit(0), "tbl", "id", "text").count() == 0
+
+
+def test_letters_of_other_scripts(spark):
+    got = forms(spark, ["ӏong", "doɡ", "օpen", "ꭺꮪ".upper(), "ꓮꓢ"])
+    assert [got[digest(t)] for t in ("ӏong", "doɡ", "օpen", "ꭺꮪ".upper(), "ꓮꓢ")] == ["long", "dog", "open", "AS", "AS"]
+
+
+def test_classes_tell_what_pairs_do(spark):
+    rng = random.Random(6)
+    looks = ["a b", "a\u00a0b", "ａ b", "a\u200b b", "c d", "ｃ d", "e"]
+    rows = [(rng.choice("gh"), str(n), rng.choice(looks), 0) for n in range(80)] + [("g", f"copy{n}", "a b", 0) for n in range(60)]
+    df = spark.createDataFrame(rows + rows[:9] + [("g", "n", None, 0), ("g", "z", "\u200b", 0), (None, "q", "a b", 0)], "tbl string, id string, text string, form int")
+    got = {(r.group, r.id): r for r in lookalike.look_classes(df, "tbl", "id", "text").collect()}
+    pairs = {(r.group, r.id_a, r.id_b) for r in lookalike.look_pairs(df, "tbl", "id", "text").collect()}
+    look = {k: (g, python_form(t), t) for g, k, t, _ in rows}
+    brute = {(look[a][0], a, b) for a in look for b in look if a < b and look[a][:2] == look[b][:2] and look[a][2] != look[b][2]}
+    assert pairs == brute and set(got) == {(g, k) for k, (g, _, _) in look.items()}
+    for k, (g, f, t) in look.items():
+        own = [x for x in look.values() if x[:2] == (g, f)]
+        assert (got[g, k].members, got[g, k].links) == (len(own), sum(x[2] != t for x in own)) and got[g, k].form == digest(f)
+    assert lookalike.look_classes(df.limit(0), "tbl", "id", "text").count() == 0
