@@ -20,8 +20,9 @@ from lexisift.session import balanced, checkpointed
 #: Least share of the documents with a language that must hold a word of its vocabulary. As a document has
 #: a bounded mean number of distinct words, there are at most (that number) / MIN_SHARE words a language.
 MIN_SHARE = 5e-4
-#: Passes of the distributed fit and, in each, over a document's topic shares.
-ROUNDS, PASSES = 6, 6
+#: Most passes of the distributed fit, passes in each over a document's topic shares, and the share of a
+#: topic's words that may still move for the topics to count as settled.
+ROUNDS, PASSES, SETTLED = 8, 4, 0.002
 #: Weight of one seed word against one word of the corpus, and the prior of a word in a topic.
 SEED, BETA = 5.0, 0.01
 #: Prior of a document's topic shares, for topics of subjects and for those of a language's common words.
@@ -145,11 +146,10 @@ def _bags(docs: list, size: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def seeds(examples: list[tuple[str | None, str]], vocabulary: Vocabulary, langs: tuple[str, ...]) -> dict[tuple[str | None, str], Counter]:
-    """Word counts of the examples of each label in each language; texts on no subject stay apart, as they share no theme."""
+    """Word counts of the examples of each label in each language; texts on no subject are one label of their language, so the number of topics does not grow with the examples."""
     out: dict[tuple[str | None, str], Counter] = {}
-    for n, (subject, text) in enumerate(examples):
-        lang = language_of(text, langs)
-        counts = out.setdefault((subject, lang) if subject else (None, f"{lang}#{n}"), Counter())
+    for subject, text in examples:
+        counts = out.setdefault((subject, language_of(text, langs)), Counter())
         for s in spoken(sentences(text), langs):
             counts.update(vocabulary.numbers(s))
     return out
@@ -167,10 +167,10 @@ def start(known: dict[tuple[str | None, str], Counter], vocabulary: list[str]) -
     language share, and function words, seed the topic of the language's common words; the
     others seed their own.
     """
-    langs = sorted({lang.partition("#")[0] for _, lang in known})
+    langs = sorted({lang for _, lang in known})
     labels = sorted(known, key=lambda x: (x[0] or "", x[1])) + [(COMMON, lang) for lang in langs]
     spoken_in = np.array([w.partition(":")[0] for w in vocabulary])
-    own = np.array([spoken_in == lang.partition("#")[0] for _, lang in labels])
+    own = np.array([spoken_in == lang for _, lang in labels])
     prior = np.where(own, BETA, 0.0)
     function = {n for n, w in enumerate(vocabulary) if w.partition(":")[2] in _function().get(w.partition(":")[0], ())}
     holders: dict[int, set] = {}
@@ -178,7 +178,7 @@ def start(known: dict[tuple[str | None, str], Counter], vocabulary: list[str]) -
         for w in c:
             holders.setdefault(w, set()).add(key)
     for z, key in enumerate(labels[: len(known)]):
-        b = labels.index((COMMON, key[1].partition("#")[0]))
+        b = labels.index((COMMON, key[1]))
         for w, n in known[key].items():
             if own[z, w]:
                 prior[b if len(holders[w]) >= SPREAD or w in function else z, w] += SEED * n
@@ -191,7 +191,8 @@ def fit(corpus: DataFrame, prior: np.ndarray, own: np.ndarray, labels: list[tupl
     Each pass sends the word distributions to all tasks and adds up, by word, what the tasks
     count; the result has one row a word and is bounded by the vocabulary. The first pass
     counts a word for the topics of its document, whatever the word: so words without a seed
-    find their topics, and words that occur alike in documents of all topics become common.
+    find their topics, and words that occur alike in documents of all topics become common. The fit ends when topics are
+    settled: when less than ``SETTLED`` of their words moved, weighted by the topics' sizes.
     """
     k, v = prior.shape
     spark = corpus.sparkSession
@@ -209,7 +210,9 @@ def fit(corpus: DataFrame, prior: np.ndarray, own: np.ndarray, labels: list[tupl
         counts = np.zeros((k, v))
         for row in parts.toLocalIterator():
             counts[:, row[0]] = row[1:]
-        topics = Topics(normal(settled(counts, own, labels) if turn == 0 else counts + prior), labels)
+        before, topics = topics.phi, Topics(normal(settled(counts, own, labels) if turn == 0 else counts + prior), labels)
+        if turn > 1 and np.average(abs(topics.phi - before).sum(axis=1) / 2, weights=counts.sum(axis=1) + 1) < SETTLED:
+            break
     return topics
 
 
@@ -241,7 +244,7 @@ def settled(counts: np.ndarray, own: np.ndarray, labels: list[tuple[str | None,
     for b, (name, lang) in enumerate(labels):
         if name != COMMON:
             continue
-        rows = [z for z, (n, x) in enumerate(labels) if n != COMMON and x.partition("#")[0] == lang]
+        rows = [z for z, (n, x) in enumerate(labels) if n != COMMON and x == lang]
         cols = np.flatnonzero(own[b])
         part = counts[np.ix_(rows, cols)] + 1e-9
         q = part / part.sum(axis=0)
