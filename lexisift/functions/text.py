@@ -92,6 +92,11 @@ def looks_german(c: Column, least: int = 4) -> Column:
     return F.size(F.array_distinct(found)) >= least
 
 
+def language(c: Column) -> Column:
+    """``de`` for German texts, else ``en``, the language without a pack of its own too; a null text is ``en``."""
+    return F.when(F.coalesce(looks_german(c), F.lit(False)), "de").otherwise("en")
+
+
 def strip_frontmatter(c: Column) -> Column:
     """Without a block between ``---`` lines at the very start."""
     return F.regexp_replace(c, java(r"\A---\s*\n.*?\n---\s*\n", "s"), "")
@@ -150,9 +155,10 @@ WIKITEXT = [
     (r"(?is)<ref[^>]*?>.*?</ref>", " "), (r"(?i)<ref[^/]*/?>", " "), (r"(?s)<!--.*?-->", " "), (r"<[^>]+?>", " "),
     *[(r"\{\{[^{}]*?\}\}", " ")] * 5,
     (r"(?i)\[\[(?:File|Datei|Image|Bild):[^\]]*?\]\]", " "), (r"\[\[([^\]|]*?)\|([^\]]*?)\]\]", "$1 $2"), (r"\[\[([^\]]*?)\]\]", "$1"),
-    (r"\[https?://[^\s]+\s+([^\]]+?)\]", "$1"), (r"\[https?://[^\s]+\]", " "), (r"={2,6}[^=]+?={2,6}", " "),
-    (r"(?m)^\s*(\||!|\{\||\|\})", " "), (r"'{2,3}", ""), (r"#[\p{L}\p{N}_]+:[^\n]*", " "), (r"\n{3,}", "\n\n"),
+    (r"\[https?://\S+\s+([^\]]+?)\]", "$1"), (r"\[https?://\S+\]", " "), (r"={2,6}[^=]+?={2,6}", " "),
+    (r"(?m)^\s*(\||!|\{\||\|\})", " "), (r"'{2,3}", ""), (r"#\w+:[^\n]*", " "), (r"\n{3,}", "\n\n"),
 ]
+# The same for Markdown.
 MARKDOWN = [
     (r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
     (r"#{1,6}\s+", " "), (r"<[^>]+?>", " "), (r"\s+", " "),

@@ -177,6 +177,19 @@ LEVELS_DE = """
 103 strict strict light light strict
 104 light SKIP strict strict strict
 """
+# Numbers and names of the rules that both packs share, of the English pack, and of rules in the German pack alone.
+SHARED_RULES = {
+    6: "Challenges and future prospects sections", 14: "Em dash overuse", 15: "Overuse of boldface", 17: "Title case in headings", 18: "Emojis", 19: "Curly quotation marks", 25: "Generic positive conclusions",
+    26: "Hyphenated word pair overuse", 29: "Fragmented headers", 38: "Reference-markup artifacts", 39: "Phrasal templates and placeholder text", 40: "Markdown / wikitext contamination", 41: "Diff-anchored writing",
+}
+PACK_RULES = {
+    1: "Undue emphasis on significance", 2: "Undue emphasis on notability", 3: "Superficial analyses with -ing endings", 4: "Promotional language", 5: "Vague attributions", 7: "Overused AI vocabulary",
+    8: "Copula avoidance", 9: "Negative parallelisms", 10: "Rule of three overuse", 11: "Elegant variation", 12: "False ranges", 13: "Passive voice and subjectless fragments", 16: "Inline-header vertical lists",
+    20: "Collaborative communication artifacts", 21: "Knowledge-cutoff disclaimers", 22: "Sycophantic tone", 23: "Filler phrases", 24: "Excessive hedging", 27: "Persuasive authority tropes", 28: "Signposting",
+    30: "Sentence-starter intensifiers", 31: "Rhetorical questions", 32: "Stacked intensifier adjectives", 33: "Quantity vagueness", 34: "Trailing emphasis fragments", 35: "Debunking-pose headings",
+    36: "Conditional frame stacking", 37: "Miscalibrated epistemic confidence", 42: "Aphorism formulas",
+}
+GERMAN_RULES = {100: "Academic frame phrase", 101: "Impersonal reflexive", 102: "Subjunctive stacking", 103: "Anglicisms", 104: "Nominal style inflation"}
 LEVEL_DOMAINS = ("academic", "legal", "technical", "marketing", "career")
 
 
@@ -187,6 +200,18 @@ def pack(lang: str) -> tuple[Rule, ...]:
     return PACKS[lang]
 
 
+def rules(lang: str) -> dict[int, str]:
+    """Numbers and names of a language's rules, shared ones included."""
+    pack(lang)
+    return SHARED_RULES | PACK_RULES | (GERMAN_RULES if lang == "de" else {})
+
+
+def modes(lang: str) -> dict[str, list[int]]:
+    """Rules of each mode: the quick one has a few, the voice mode those of the full one."""
+    every = sorted(rules(lang))
+    return {"quick": sorted(QUICK_RULES), "full": every, "voice": every}
+
+
 def levels() -> list[tuple[int, str, str]]:
     """(rule, domain, level) of the override table."""
     return [(int(f[0]), d, x) for f in map(str.split, LEVELS_DE.strip().splitlines()) for d, x in zip(LEVEL_DOMAINS, f[1:])]

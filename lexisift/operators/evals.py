@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
-from lexisift.lexicon import BRIDGE, QUICK_RULES, TIER1_RULES, java, levels, pack
+from lexisift.lexicon import BRIDGE, QUICK_RULES, SHARED_RULES, TIER1_RULES, any_of, java, levels, modes, pack, rules
 from lexisift.operators import rewrite, scan
 
 
@@ -98,6 +98,23 @@ def audit(cases: DataFrame, lang: str = "en") -> DataFrame:
     return joined.withColumn("signal", F.when(unmapped, "unmapped").when(fires, "fires").otherwise("no_signal")).drop("_hits", "keys", "rule_id")
 
 
+def rule_table(spark: SparkSession, lang: str = "en") -> DataFrame:
+    """``rule_id, name, pack, tier1, patterns, modes`` of a language's rules; a fixed table of under 50 rows."""
+    by_mode = modes(lang)
+    rows = [(i, name, "universal" if i in SHARED_RULES else lang, i in TIER1_RULES, BRIDGE.get(i, "").split(), [m for m, ids in by_mode.items() if i in ids]) for i, name in sorted(rules(lang).items())]
+    return spark.createDataFrame(rows, "rule_id int, name string, pack string, tier1 boolean, patterns array<string>, modes array<string>")
+
+
+def mode_hits(hits: DataFrame, mode: str, lang: str = "en") -> DataFrame:
+    """Rows of ``hits`` (with ``rule_id``) whose rule belongs to ``mode``; an unknown mode is an error."""
+    return hits.filter(F.col("rule_id").isin(modes(lang)[mode]))
+
+
+def unknown_levels(spark: SparkSession, lang: str) -> DataFrame:
+    """``rule_id`` of the override table that no pack of the language has; must be empty."""
+    return override_levels(spark, lang).select("rule_id").subtract(rule_table(spark, lang).select("rule_id"))
+
+
 def override_levels(spark: SparkSession, lang: str) -> DataFrame:
     """``rule_id, domain, level``; English has the German rows without the rules of that pack alone."""
     rows = [r for r in levels() if lang == "de" or r[0] < 100 and r[0] != 11]
@@ -177,9 +194,9 @@ def hash_compare(a: DataFrame, b: DataFrame, path: str = "path", content: str =
 # Derived from prose rules, not from code: they label such output in the README.
 # Word clusters by era, and words that point to a domain.
 ERAS = {
-    "2023-2024": "additionally boasts bolstered crucial delve emphasizing enduring garner intricate intricacies interplay key landscape meticulous meticulously pivotal underscore tapestry testament valuable vibrant",
-    "2024-2025": "align bolstered crucial emphasizing enhance enduring fostering highlighting pivotal showcasing underscore vibrant",
-    "2025-": "emphasizing enhance highlighting showcasing",
+    "2023-2024": "additionally; boasts; bolstered; crucial; delve; emphasizing; enduring; garner; intricate; intricacies; interplay; key; landscape; meticulous; meticulously; pivotal; underscore; tapestry; testament; valuable; vibrant",
+    "2024-2025": "align with; bolstered; crucial; emphasizing; enhance; enduring; fostering; highlighting; pivotal; showcasing; underscore; vibrant",
+    "2025-": "emphasizing; enhance; highlighting; showcasing",
 }
 DOMAIN_WORDS = {
     "academic": "we propose|this paper|hypothesis|et al|methodology",
@@ -193,10 +210,24 @@ SUBJUNCTIVE = r"\b(würden?|wäre[n]?|hätten?|könnten?|sollten?|müssten?|dür
 
 def era_hits(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, era, hits`` of the eras whose words occur."""
-    n = F.create_map(*(x for e, w in ERAS.items() for x in (F.lit(e), T.count(F.col(text), java(rf"\b({'|'.join(w.split())})\b", "i")))))
+    n = F.create_map(*(x for e, w in ERAS.items() for x in (F.lit(e), T.count(F.col(text), java(rf"\b({any_of(w)})\b", "i")))))
     return df.select(key, F.explode(F.map_filter(n, lambda k, v: v > 0)).alias("era", "hits"))
 
 
+def dated(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, era, hits``: the era whose words occur most, the earlier one of equals; only texts with such words. Keys are taken as unique."""
+    n = F.array(*(F.struct((-T.count(F.col(text), java(rf"\b({any_of(w)})\b", "i"))).alias("n"), F.lit(e).alias("era")) for e, w in ERAS.items()))
+    best = df.select(key, F.element_at(F.array_sort(n), 1).alias("e")).filter("e.n < 0")
+    return best.select(key, "e.era", (-F.col("e.n")).alias("hits"))
+
+
+def subjunctive_paragraphs(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
+    """``key, paragraph, forms`` of the paragraphs with at least ``least`` subjunctive forms close together, paragraphs numbered from 1."""
+    rows = df.select(key, F.posexplode(T.paragraphs(F.col(text))).alias("paragraph", "p"))
+    rows = rows.select(key, (F.col("paragraph") + 1).cast("long").alias("paragraph"), T.count(F.col("p"), java(SUBJUNCTIVE, "i")).alias("forms"))
+    return rows.filter(F.col("forms") >= least)
+
+
 def infer_domain(c: Column) -> Column:
     """Domain with most indicator words, ties alphabetically; casual without any."""
     ranked = F.array_sort(F.array(*(F.struct((-T.count(c, java(rf"\b({w})\b", "i"))).alias("n"), F.lit(d).alias("d")) for d, w in DOMAIN_WORDS.items())))

@@ -55,12 +55,24 @@ def paragraph_scores(df: DataFrame, key: str, text: str, lang: str = "en") -> Da
 
     A mostly Hebrew paragraph of an English document counts rules of form only.
     """
-    parts = df.select(key, F.posexplode(T.paragraphs(T.clean_text(F.col(text)))).alias("paragraph", "p"))
-    foreign = T.hebrew_share(F.col("p")) > 0.4 if lang == "en" else None
-    parts = parts.withColumn("words", T.word_count(F.col("p"))).withColumn("hits", hits_map(F.col("p"), lang, foreign))
-    parts = parts.withColumn("tier1", tier1(F.col("hits"), F.col("words"), lang))
+    parts = _paragraph_hits(df, key, text, lang).withColumn("tier1", tier1(F.col("hits"), F.col("words"), lang))
     d = T.density(F.col("tier1"), F.col("words"))
-    return parts.select(key, (F.col("paragraph") + 1).cast("long").alias("paragraph"), "words", "tier1", F.round(d, 2).alias("density"), T.band(d).alias("band"))
+    return parts.select(key, "paragraph", "words", "tier1", F.round(d, 2).alias("density"), T.band(d).alias("band"))
+
+
+def _paragraph_hits(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """``key, paragraph, words, hits`` of each paragraph; its script is looked at once, before the rules are counted."""
+    foreign = (lambda p: T.hebrew_share(p) > 0.4) if lang == "en" else lambda p: F.lit(False)
+    parts = F.transform(T.paragraphs(T.clean_text(F.col(text))), lambda p: F.struct(p.alias("p"), foreign(p).alias("foreign")))
+    parts = df.select(key, F.posexplode(parts).alias("at", "x"))
+    hits = hits_map(F.col("x.p"), lang, F.col("x.foreign") if lang == "en" else None)
+    return parts.select(key, (F.col("at") + 1).cast("long").alias("paragraph"), T.word_count(F.col("x.p")).alias("words"), hits.alias("hits"))
+
+
+def paragraph_hits(df: DataFrame, key: str, text: str, lang: str = "en") -> DataFrame:
+    """``key, paragraph, rule, hits`` of every rule that fires in a paragraph, as ``paragraph_scores`` counts them."""
+    parts = _paragraph_hits(df, key, text, lang)
+    return parts.select(key, "paragraph", F.explode(F.map_filter("hits", lambda k, v: v > 0)).alias("rule", "hits"))
 
 
 def dimension_scores(df: DataFrame, key: str, text: str, lang: str = "en") -> DataFrame:

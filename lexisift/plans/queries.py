@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
-from lexisift.lexicon import BRIDGE, DIMENSIONS, EN, PACKS, pack
-from lexisift.operators import evals, mining, rewrite, scan, trials
+from lexisift.lexicon import BRIDGE, DIMENSIONS, EN, PACKS, any_of, levels, modes, pack, rules
+from lexisift.operators import evals, mining, rewrite, scan, summaries, trials
 from lexisift.plans import sqlgen as g
 from lexisift.session import balanced, table
 from lexisift.sources import corpus
@@ -116,6 +116,15 @@ def paragraph_density(spark: SparkSession, d: str) -> DataFrame:
     return scan.paragraph_scores(df, "doc_id", "text")
 
 
+_PARA = f"""WITH a AS (SELECT doc_id, {g.paragraphs(g.clean('text'))} AS ps FROM {_MIXED}), b AS (SELECT doc_id, CAST(generate_subscripts(ps, 1) AS BIGINT) AS paragraph, unnest(ps) AS p FROM a), c AS (SELECT doc_id, paragraph, {{{_FORM}}} AS h FROM b)"""
+
+
+@query("paragraph_hits", f"{_PARA} SELECT * FROM ({g.long_hits('c', 'doc_id, paragraph', 'en')}) WHERE hits > 0")
+def paragraph_hits(spark: SparkSession, d: str) -> DataFrame:
+    df = seeded(docs(spark, d), "en").withColumn("text", F.concat("text", F.lit("\n\nשלום עולם — **טוב** robust\n \nEnd, stop.")))
+    return scan.paragraph_hits(df, "doc_id", "text")
+
+
 _DIM = ", ".join(f"{{'dimension': {g.q(x)}, 'hits': CAST({' + '.join(f'h.{r.key}' for r in EN if r.dimension == x)} AS BIGINT)}}" for x in DIMENSIONS)
 
 
@@ -149,6 +158,16 @@ def em_dash_hits(spark: SparkSession, d: str) -> DataFrame:
     return seeded(docs(spark, d), "en").select("doc_id", scan.hits_of(F.col("text"), next(r for r in EN if r.key == "em_dash_overuse")).alias("hits"))
 
 
+@query("em_dash_literal", f"SELECT doc_id, {g.count('text', '—')} AS dashes FROM documents WHERE text IS NOT NULL")
+def em_dash_literal(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).filter("text is not null").select("doc_id", T.count(F.col("text"), "—").alias("dashes"))
+
+
+@query("language", f"SELECT doc_id, CASE WHEN coalesce({g.german('text')}, FALSE) THEN 'de' ELSE 'en' END AS language FROM documents")
+def language(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", T.language(F.col("text")).alias("language"))
+
+
 # --- words, tokens, n-grams ----------------------------------------------------------------------
 
 
@@ -214,7 +233,7 @@ def hebrew_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ai_career_01").filter("input is not null").distinct()
+    return balanced(table(spark, d, "ai_career_01").filter("input is not null").distinct())
 
 
 _PAIRS = "(SELECT DISTINCT * FROM ai_career_01 WHERE input IS NOT NULL)"
@@ -361,6 +380,66 @@ def pattern_report(spark: SparkSession, d: str) -> DataFrame:
     return evals.pattern_report(evals.term_removal(cases(spark, d), "output"))
 
 
+def pattern_runs(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
+    """``n`` runs of each case: some leave the text as it is, some fail."""
+    turn = (F.length("input") + F.col("run_idx")) % 3
+    df = cases(spark, d).withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    df = evals.term_removal(df.withColumn("output", F.when(turn == 0, F.col("input")).otherwise(F.col("output"))), "output")
+    failed = (F.length("input") + 2 * F.col("run_idx")) % 4 == 0
+    df = df.withColumn("detected", F.when(~failed, F.col("detected"))).withColumn("ratio", F.when(~failed, F.col("run_idx") * 0.05))
+    return df.select("pattern_id", "id", "run_idx", "status", "detected", "ratio", "terms_present", "terms_removed")
+
+
+_OUT = "CASE WHEN (length(c.input) + run_idx) % 3 = 0 THEN c.input ELSE translate(c.input, '“”', '\"\"') END"
+_LEFT = f"len(list_filter({_THERE}, lambda t: contains(lower({_OUT}), lower(t))))"
+_FAIL = "coalesce((length(c.input) + 2 * run_idx) % 4 = 0, FALSE)"
+_VERDICTS = f"""WITH r AS (SELECT pattern_id, id, run_idx, {_STATUS} AS status, len({_THERE}) AS there, len({_THERE}) - coalesce({_LEFT}, 0) AS gone, {_STATUS} = 'scorable' AND coalesce({_LEFT}, 0) = 0 AS hit, {_FAIL} OR c.input IS NULL AS failed FROM {_CASES}, (SELECT unnest(range(0, 5)) AS run_idx)),
+v AS (SELECT *, CASE WHEN NOT failed THEN CASE status WHEN 'scorable' THEN CAST(hit AS INT) WHEN 'true_negative' THEN CAST(run_idx * 0.05 <= 0.10 AS INT) END END AS value FROM r),
+a AS (SELECT pattern_id, id, status, count(value) AS n_success, count(*) - count(value) AS n_fail, count(*) FILTER (value = 1) AS k, round(median(CAST(run_idx * 0.05 AS DOUBLE)) FILTER (NOT failed AND status = 'true_negative'), 4) AS median_ratio,
+CAST(coalesce(round_even(median(there) FILTER (value IS NOT NULL AND status = 'scorable'), 0), 0) AS BIGINT) AS terms_present, CAST(coalesce(round_even(median(gone) FILTER (value IS NOT NULL AND status = 'scorable'), 0), 0) AS BIGINT) AS terms_removed FROM v GROUP BY 1, 2, 3),
+i AS (SELECT *, status IN ('scorable', 'true_negative') AND n_success < 3 AS inconclusive FROM a),
+cv AS (SELECT *, CASE WHEN status IN ('scorable', 'true_negative') AND NOT inconclusive THEN n_success > 0 AND CASE status WHEN 'true_negative' THEN median_ratio <= 0.10 ELSE k >= ceil(n_success / 2.0) END END AS verdict,
+CASE WHEN status IN ('scorable', 'true_negative') AND n_success > 0 THEN round(k / CAST(n_success AS DOUBLE), 4) END AS fraction, status IN ('scorable', 'true_negative') AND NOT inconclusive AND k > 0 AND k < n_success AS flaky FROM i)"""
+
+
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    runs = pattern_runs(spark, d).withColumn("detected", F.when(F.col("ratio").isNotNull(), F.col("detected")))
+    return summaries.case_verdicts(runs, ["pattern_id", "id"], 5)
+
+
+@query("case_verdicts", f"{_VERDICTS} SELECT pattern_id, id, status, n_success, n_fail, k, median_ratio, terms_present, terms_removed, inconclusive, verdict, fraction, flaky FROM cv")
+def case_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return verdicts(spark, d)
+
+
+_SURE = "NOT inconclusive AND status = "
+
+
+@query(
+    "pattern_details",
+    f"""{_VERDICTS}, p AS (SELECT pattern_id, count(*) FILTER ({_SURE}'scorable' AND verdict) AS detected, count(*) FILTER ({_SURE}'scorable') AS total, count(*) FILTER (starts_with(status, 'unscorable')) AS unscorable, count(*) FILTER ({_SURE}'true_negative') AS true_negatives,
+count(*) FILTER ({_SURE}'true_negative' AND verdict) AS true_negative_passes, count(*) FILTER (inconclusive) AS inconclusive, count(*) FILTER (flaky) AS flaky FROM cv GROUP BY 1)
+SELECT *, CASE WHEN total > 0 THEN round(detected / CAST(total AS DOUBLE), 3) ELSE 0.0 END AS rate, total > 0 AND detected / CAST(total AS DOUBLE) < 0.85 AS below FROM p""",
+)
+def pattern_details(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.pattern_details(verdicts(spark, d))
+
+
+@query("pattern_marks", f"{_VERDICTS} SELECT pattern_id, id, unnest(list_filter([CASE WHEN {_SURE}'scorable' AND NOT coalesce(verdict, FALSE) THEN 'miss' END, CASE WHEN {_SURE}'true_negative' AND NOT coalesce(verdict, FALSE) THEN 'true_negative_failure' END, CASE WHEN inconclusive THEN 'inconclusive' END, CASE WHEN flaky THEN 'flaky' END], lambda x: x IS NOT NULL)) AS mark FROM cv")
+def pattern_marks(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.pattern_marks(verdicts(spark, d), ["pattern_id", "id"])
+
+
+@query(
+    "pattern_summary",
+    f"""{_VERDICTS}, s AS (SELECT count(*) AS cases, count(*) FILTER ({_SURE}'scorable') AS scored, count(*) FILTER ({_SURE}'scorable' AND verdict) AS detected, count(*) FILTER (starts_with(status, 'unscorable')) AS unscorable, count(*) FILTER (inconclusive) AS inconclusive, count(*) FILTER (flaky) AS flaky,
+coalesce(round(avg(fraction) FILTER ({_SURE}'scorable'), 3), 0.0) AS mean_fraction, CAST(coalesce(sum(terms_present) FILTER ({_SURE}'scorable'), 0) AS BIGINT) AS terms_present, CAST(coalesce(sum(terms_removed) FILTER ({_SURE}'scorable'), 0) AS BIGINT) AS terms_removed FROM cv)
+SELECT *, CASE WHEN scored > 0 THEN round(detected / CAST(scored AS DOUBLE), 3) ELSE 0.0 END AS detection_rate, CASE WHEN terms_present > 0 THEN round(terms_removed / CAST(terms_present AS DOUBLE), 3) ELSE 0.0 END AS term_rate, inconclusive = 0 AS complete FROM s""",
+)
+def pattern_summary(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.pattern_summary(verdicts(spark, d))
+
+
 _RUNS = "(SELECT DISTINCT * FROM runs)"
 _LAST = f"(SELECT case_id, run_idx, arg_max(value, loaded_at) FILTER (loaded_at IS NOT NULL) AS value FROM (SELECT case_id, run_idx, coalesce(value, -1) AS value, loaded_at FROM {_RUNS}) GROUP BY 1, 2)"
 
@@ -403,6 +482,35 @@ def overedit_report(spark: SparkSession, d: str) -> DataFrame:
     return evals.overedit_report(joined, "domain", threshold=0.5)
 
 
+_PRE = ["Pre-flight: 0 Tier-1 tells, quick", "Pre-flight: mixed", "Pre-flight: Quick, human-authored"]
+_FILES = f"""WITH r AS (SELECT case_id, run_idx, value, [{', '.join(map(g.q, _PRE))}][CAST(run_idx % 3 AS INT) + 1] AS pre, run_idx * 10 AS length FROM {_RUNS}),
+a AS (SELECT case_id, count(value) AS n_success, count(*) - count(value) AS n_fail, CAST(round(CAST(median(value) AS DECIMAL(20, 9)), 4) AS DOUBLE) AS median, min(value) AS lo, max(value) AS hi, count(*) FILTER (value IS NOT NULL AND run_idx % 3 <> 1) AS quick,
+arg_min(pre, struct_pack(a := run_idx, b := value)) FILTER (value IS NOT NULL) AS pre, arg_min(length, struct_pack(a := run_idx, b := value)) FILTER (value IS NOT NULL) AS length FROM r GROUP BY 1), i AS (SELECT *, n_success < 3 AS inconclusive FROM a),
+f AS (SELECT case_id, n_success, n_fail, median, inconclusive, NOT inconclusive AND coalesce(lo <= 0.5 AND hi > 0.5, FALSE) AS flaky, coalesce(median > 0.5, FALSE) AS above, n_success > 0 AND quick >= ceil(n_success / 2.0) AS quick_drop, coalesce(pre, '') AS preflight, CAST(coalesce(length, 0) AS BIGINT) AS length FROM i)"""
+
+
+@query("overedit_files", f"{_FILES} SELECT * FROM f")
+def overedit_files(spark: SparkSession, d: str) -> DataFrame:
+    pre = F.element_at(F.array(*map(F.lit, _PRE)), (F.col("run_idx") % 3 + 1).cast("int"))
+    df = runs(spark, d).withColumn("pre", pre).withColumn("length", F.col("run_idx") * 10)
+    return summaries.overedit_files(df, "case_id", "run_idx", "value", "pre", "length", 5, 0.5)
+
+
+@query(
+    "overedit_summary",
+    f"""{_FILES}, s AS (SELECT count(*) FILTER (NOT inconclusive) AS files, CAST(coalesce(round(CAST(avg(median) FILTER (NOT inconclusive) AS DECIMAL(20, 9)), 4), 0) AS DOUBLE) AS mean_ratio, count(*) FILTER (NOT inconclusive AND above) AS above, count(*) FILTER (NOT inconclusive AND quick_drop) AS quick_drops,
+count(*) FILTER (inconclusive) AS inconclusive, count(*) FILTER (flaky) AS flaky FROM f) SELECT *, round(above / CAST(files AS DOUBLE), 3) AS above_rate, round(quick_drops / CAST(files AS DOUBLE), 3) AS quick_drop_rate FROM s""",
+)
+def overedit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.overedit_summary(overedit_files(spark, d))
+
+
+@query("first_attempt_rate", "SELECT count(f) AS runs, count(*) FILTER (f) AS flagged, round(count(*) FILTER (f) / CAST(count(f) AS DOUBLE), 3) AS rate FROM (SELECT CASE WHEN event_id % 4 > 0 THEN event_id % 3 = 0 END AS f FROM events)")
+def first_attempt_rate(spark: SparkSession, d: str) -> DataFrame:
+    flag = F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 3 == 0)
+    return summaries.first_attempt_rate(table(spark, d, "events").select(flag.alias("first_attempt_changelog")), "first_attempt_changelog")
+
+
 _JUDGED = "SELECT user_id AS case_id, CAST(1 + event_id % 10 AS INT) AS human_ness, CAST(1 + (event_id // 3) % 10 AS INT) AS meaning, CAST(1 + (event_id // 7) % 10 AS INT) AS length FROM events"
 _LIMITS = {"human_ness": 7.5, "meaning": 8.0, "length": 7.0}
 _STAT = ", ".join(f"round(avg({k}), 3) AS {k}_mean, round(coalesce(stddev_samp({k}), 0.0), 3) AS {k}_stdev, round(median({k}), 3) AS {k}_median" for k in _LIMITS)
@@ -520,7 +628,7 @@ def staccato_runs(spark: SparkSession, d: str) -> DataFrame:
     return evals.staccato_runs(docs(spark, d), "doc_id", "text")
 
 
-_ERA = ", ".join(f"{{'era': {g.q(e)}, 'hits': {g.count('text', g.whole('|'.join(w.split())))}}}" for e, w in evals.ERAS.items())
+_ERA = ", ".join(f"{{'era': {g.q(e)}, 'hits': {g.count('text', g.whole(any_of(w)))}}}" for e, w in evals.ERAS.items())
 
 
 @query("era_hits", f"SELECT doc_id, u.era AS era, u.hits AS hits FROM (SELECT doc_id, unnest([{_ERA}]) AS u FROM {seeded_sql('en')}) WHERE u.hits > 0")
@@ -528,6 +636,11 @@ def era_hits(spark: SparkSession, d: str) -> DataFrame:
     return evals.era_hits(seeded(docs(spark, d), "en"), "doc_id", "text")
 
 
+@query("dated_era", f"SELECT doc_id, list_sort(list_transform(l, lambda x: {{'n': -x.hits, 'era': x.era}}))[1].era AS era, list_max(list_transform(l, lambda x: x.hits)) AS hits FROM (SELECT doc_id, [{_ERA}] AS l FROM {seeded_sql('en')}) WHERE list_max(list_transform(l, lambda x: x.hits)) > 0")
+def dated_era(spark: SparkSession, d: str) -> DataFrame:
+    return evals.dated(seeded(docs(spark, d), "en"), "doc_id", "text")
+
+
 _DOM = ", ".join(f"{{'n': {g.count('text', g.whole(w))}, 'd': {g.q(x)}}}" for x, w in evals.DOMAIN_WORDS.items())
 
 
@@ -542,6 +655,36 @@ def subjunctive_clusters(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", (T.count(t, evals.java(evals.SUBJUNCTIVE, "i")) >= 3).alias("cluster"))
 
 
+_MOOD = "(SELECT doc_id, concat(coalesce(text, ''), CASE WHEN doc_id % 2 = 0 THEN ' Es wäre gut, wenn sie könnten und sollten.' ELSE '' END) AS text FROM documents)"
+
+
+@query("subjunctive_paragraphs", f"WITH a AS (SELECT doc_id, {g.paragraphs('text')} AS ps FROM {_MOOD}), b AS (SELECT doc_id, CAST(generate_subscripts(ps, 1) AS BIGINT) AS paragraph, unnest(ps) AS p FROM a) SELECT doc_id, paragraph, {g.count('p', '(?i)' + evals.SUBJUNCTIVE)} AS forms FROM b WHERE {g.count('p', '(?i)' + evals.SUBJUNCTIVE)} >= 3")
+def subjunctive_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, " Es wäre gut, wenn sie könnten und sollten.").otherwise(""))
+    return evals.subjunctive_paragraphs(docs(spark, d).select("doc_id", t.alias("text")), "doc_id", "text")
+
+
+def _numbers(ids: list[int]) -> str:
+    return "(SELECT unnest([" + ", ".join(map(str, ids)) + "]) AS rule_id)"
+
+
+@query("override_ids", " UNION ALL ".join(f"SELECT {g.q(x)} AS lang, (SELECT count(DISTINCT rule_id) FROM {_numbers([r[0] for r in levels() if x == 'de' or r[0] < 100 and r[0] != 11])}) AS overridden, (SELECT count(*) FROM (SELECT rule_id FROM {_numbers([r[0] for r in levels() if x == 'de' or r[0] < 100 and r[0] != 11])} EXCEPT SELECT rule_id FROM {_numbers(list(rules(x)))})) AS unknown" for x in PACKS))
+def override_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Rules with domain levels of each language, and those of them that its packs lack."""
+    per = []
+    for x in PACKS:
+        over = evals.override_levels(spark, x).select(F.lit(x).alias("lang"), "rule_id").distinct().withColumn("bad", F.lit(0))
+        per.append(over.unionByName(evals.unknown_levels(spark, x).select(F.lit(x).alias("lang"), "rule_id", F.lit(1).alias("bad"))))
+    return per[0].unionByName(per[1]).groupBy("lang").agg(F.sum(1 - F.col("bad")).alias("overridden"), F.sum("bad").alias("unknown"))
+
+
+@query("rule_modes", " UNION ALL ".join(f"SELECT {g.q(x)} AS lang, {g.q(m)} AS mode, (SELECT count(*) FROM (SELECT rule_id FROM {_numbers(ids)} INTERSECT SELECT rule_id FROM {_numbers(list(rules(x)))})) AS rules, (SELECT count(*) FROM (SELECT rule_id FROM {_numbers(ids)} INTERSECT SELECT rule_id FROM {_numbers(list(evals.TIER1_RULES))})) AS tier1" for x in PACKS for m, ids in modes(x).items()))
+def rule_modes(spark: SparkSession, d: str) -> DataFrame:
+    tables = [evals.rule_table(spark, x).withColumn("lang", F.lit(x)) for x in PACKS]
+    rows = tables[0].unionByName(tables[1]).select("lang", "tier1", F.explode("modes").alias("mode"))
+    return rows.groupBy("lang", "mode").agg(F.count(F.lit(1)).alias("rules"), F.sum(F.col("tier1").cast("long")).alias("tier1"))
+
+
 # --- documents and corpora -------------------------------------------------------------------------
 
 _HTML = "concat('<html><nav><p>one two three four five six seven eight nine</p></nav><p class=\"x\">', replace(coalesce(text, ''), '<', '&lt;'), ' &amp; <b>more</b> words</p><p>too few</p><script>p()</script></html>')"
