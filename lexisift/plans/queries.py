@@ -264,23 +264,18 @@ def rewrite_diff(spark: SparkSession, d: str) -> DataFrame:
     return df.drop("input", "reference_rewrite", "before_band", "after_band")
 
 
-_ASCII = "regexp_full_match(input, '[\\x00-\\x7f]*') AND regexp_full_match(reference_rewrite, '[\\x00-\\x7f]*')"
+# The distance counts bytes there, so each sign of a pair becomes one byte first.
+_BYTES = "coalesce(array_to_string(list_transform(string_split({}, ''), lambda c: chr(CAST(list_position(s, c) AS INT))), ''), '')"
 
 
 @query(
     "edit_ratio",
-    f"""SELECT id, round(CASE WHEN starts_with(b, a) AND length(b) > length(a) THEN 0.0 ELSE CAST(levenshtein(input, reference_rewrite) AS DOUBLE) / greatest(length(input), 1) END, 4) AS ratio
-FROM (SELECT *, {g.strip('input')} AS a, {g.strip('reference_rewrite')} AS b FROM {_PAIRS}) WHERE {_ASCII}""",
+    f"""WITH p AS (SELECT id, input, reference_rewrite, {g.strip('input')} AS a, {g.strip('reference_rewrite')} AS b, list_distinct(string_split(concat(input, reference_rewrite), '')) AS s FROM {_PAIRS} WHERE reference_rewrite IS NOT NULL)
+SELECT id, round(CASE WHEN starts_with(b, a) AND length(b) > length(a) THEN 0.0 ELSE CAST(levenshtein({_BYTES.format('input')}, {_BYTES.format('reference_rewrite')}) AS DOUBLE) / greatest(length(input), 1) END, 4) AS ratio FROM p""",
 )
 def edit_ratio(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = F.col("input").rlike(r"\A\p{ASCII}*\z") & F.col("reference_rewrite").rlike(r"\A\p{ASCII}*\z")
-    return pairs(spark, d).filter(ascii_only).select("id", F.round(rewrite.guarded_edit_ratio(F.col("input"), F.col("reference_rewrite")), 4).alias("ratio"))
-
-
-@query("edit_ratio_all")
-def edit_ratio_all(spark: SparkSession, d: str) -> DataFrame:
-    """Ratios of all pairs with both texts, by code points; ``edit_ratio`` has those that SQL's byte-wise distance can follow."""
-    both = pairs(spark, d).filter("input is not null and reference_rewrite is not null")
+    """Ratios of all pairs with both texts, by code points."""
+    both = pairs(spark, d).filter("reference_rewrite is not null")
     return both.select("id", F.round(rewrite.guarded_edit_ratio(F.col("input"), F.col("reference_rewrite")), 4).alias("ratio"))
 
 
@@ -762,12 +757,15 @@ def latest_runs(spark: SparkSession, d: str) -> DataFrame:
     return corpus.latest_before(df, "case_id", "w", "run_idx")
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT doc_id, lang, domain FROM (SELECT DISTINCT doc_id, lang, domain FROM documents) ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 100")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return corpus.seeded_sample(docs(spark, d).select("doc_id", "lang", "domain"), "doc_id", 100)
 
 
-@query("domain_sample")
+_PROSE = f"(SELECT doc_id, {g.spaced(g.wikitext('text'))} AS w FROM documents WHERE domain = 'technical' AND text IS NOT NULL)"
+
+
+@query("domain_sample", f"SELECT doc_id, text FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(w, 1, 400), ' ') AS text FROM {_PROSE} WHERE len(w) >= 50) ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 50")
 def domain_sample(spark: SparkSession, d: str) -> DataFrame:
     return corpus.prose_corpus(docs(spark, d), "doc_id", "text", "technical", 50)
 
@@ -787,11 +785,19 @@ def next_heading(spark: SparkSession, d: str) -> DataFrame:
     return corpus.next_heading(lines.select("doc_id", (F.col("i") + 1).cast("long").alias("start")), "doc_id", "start")
 
 
-@query("rule_sections")
+_PACK = ("# Pack\n### 7. First rule\n**Words to watch:** robust, seamless; `x`\n\n**Before:**\n> ", "\n\n**After:**\n> y\n### 8. Second\nrest")
+_LINE = g.strip(g.sub("text", f"{g.S}+", " "))
+_TERMS = "string_split_regex(regexp_extract(x, '\\*\\*Words to watch:\\*\\*\\s*([^\\n]+)', 1), '[,;|]')"
+
+
+@query(
+    "rule_sections",
+    f"""WITH a AS (SELECT doc_id AS pack, unnest(list_slice(string_split(concat(chr(10), {g.q(_PACK[0])}, {_LINE}, {g.q(_PACK[1])}), concat(chr(10), '### ')), 2, 9)) AS x FROM documents WHERE text IS NOT NULL)
+SELECT pack, CAST(split_part(x, '. ', 1) AS INT) AS rule_id, split_part(split_part(x, chr(10), 1), '. ', 2) AS name, CAST(contains(x, '**Before:**') AS INT) AS inputs, array_to_string(list_filter(list_transform({_TERMS}, lambda t: trim(t, ' .—')), lambda t: t <> '' AND NOT starts_with(t, '`')), '|') AS terms FROM a""",
+)
 def rule_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections, examples and trigger lists of a rule pack made from documents."""
-    line = T.strip(F.regexp_replace("text", T.SPACES, " "))
-    body = F.concat(F.lit("# Pack\n### 7. First rule\n**Words to watch:** robust, seamless; `x`\n\n**Before:**\n> "), line, F.lit("\n\n**After:**\n> y\n### 8. Second\nrest"))
+    body = F.concat(F.lit(_PACK[0]), T.strip(F.regexp_replace("text", T.SPACES, " ")), F.lit(_PACK[1]))
     packs = docs(spark, d).filter("text is not null").select(F.col("doc_id").alias("pack"), body.alias("text"))
     s = corpus.rule_sections(packs)
     return s.select("pack", "rule_id", "name", F.size(corpus.before_inputs(F.col("body"))).alias("inputs"), F.concat_ws("|", corpus.trigger_terms(F.col("body"))).alias("terms"))
@@ -812,7 +818,12 @@ def candidate_ranks(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 10").select("run_id", "rank", "ngram", "place")
 
 
-@query("pack_disjoint", f"SELECT CAST({len(set(r.key for r in pack('en')) & set(r.key for r in pack('de')))} AS BIGINT) AS shared, CAST({len(pack('en'))} AS BIGINT) AS en, CAST({len(pack('de'))} AS BIGINT) AS de")
+def _keys(lang: str) -> str:
+    return "(SELECT unnest([" + ", ".join(g.q(r.key) for r in pack(lang)) + "]) AS rule)"
+
+
+@query("pack_disjoint", f"SELECT (SELECT count(*) FROM (SELECT rule FROM {_keys('en')} INTERSECT SELECT rule FROM {_keys('de')})) AS shared, (SELECT count(DISTINCT rule) FROM {_keys('en')}) AS en, (SELECT count(DISTINCT rule) FROM {_keys('de')}) AS de")
 def pack_disjoint(spark: SparkSession, d: str) -> DataFrame:
     a, b = (spark.createDataFrame([(r.key,) for r in pack(x)], "rule string") for x in ("en", "de"))
-    return a.withColumn("en", F.lit(1)).join(b.withColumn("de", F.lit(1)), "rule", "full").agg(F.sum((F.col("en") + F.col("de"))).cast("long").alias("_"), F.count("en").alias("en"), F.count("de").alias("de")).select((F.col("_") / 2).cast("long").alias("shared"), "en", "de")
+    joined = a.withColumn("en", F.lit(1)).join(b.withColumn("de", F.lit(1)), "rule", "full")
+    return joined.agg(F.count(F.when(F.col("en").isNotNull() & F.col("de").isNotNull(), 1)).alias("shared"), F.count("en").alias("en"), F.count("de").alias("de"))

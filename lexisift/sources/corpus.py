@@ -73,7 +73,7 @@ def readmes(landed: DataFrame, content: str = "content") -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` distinct rows in an order that ``seed`` fixes."""
-    return df.distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    return df.distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 def prose_corpus(df: DataFrame, key: str, text: str, domain: str, n: int, seed: int = 42, most: int = 400, least: int = 50) -> DataFrame:
