@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -18,8 +19,30 @@ def fill(template: str, fields: dict[str, Column]) -> Column:
     return c
 
 
-def respond(df: DataFrame, key: str, prompt: str, call: Callable[[str], str], attempts: int = 3, delay: float = 2.0) -> DataFrame:
-    """``key, raw, status, error`` of ``call`` for each prompt.
+def within(call: Callable[[str], str], prompt: str, seconds: float | None) -> str:
+    """``call(prompt)``, or a ``TimeoutError`` after ``seconds``; a call that hangs is left behind in a thread that ends with its process."""
+    if seconds is None:
+        return call(prompt)
+    found: dict[str, object] = {}
+
+    def run() -> None:
+        try:
+            found["value"] = call(prompt)
+        except BaseException as x:
+            found["error"] = x
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        raise TimeoutError(f"no answer in {seconds} seconds")
+    if "error" in found:
+        raise found["error"]
+    return found["value"]
+
+
+def respond(df: DataFrame, key: str, prompt: str, call: Callable[[str], str], attempts: int = 3, delay: float = 2.0, timeout: float | None = 300.0) -> DataFrame:
+    """``key, raw, status, error`` of ``call`` for each prompt; a call without an answer after ``timeout`` seconds has failed.
 
     A failing call is tried again with doubled delays; a row that still fails has status ``failed``
     and the error, and stops no other row. A null prompt is ``skipped``.
@@ -32,7 +55,7 @@ def respond(df: DataFrame, key: str, prompt: str, call: Callable[[str], str], at
                 raw, status, error = None, "skipped", None
                 for n in range(attempts if p is not None else 0):
                     try:
-                        raw, status, error = call(p), "ok", None
+                        raw, status, error = within(call, p, timeout), "ok", None
                         break
                     except Exception as x:
                         status, error = "failed", str(x)
@@ -47,6 +70,11 @@ def respond(df: DataFrame, key: str, prompt: str, call: Callable[[str], str], at
     return rows.mapInArrow(run, f"key {kind}, raw string, status string, error string").withColumnRenamed("key", key)
 
 
+def checked_scores(scores: DataFrame, columns: list[str], low: int = 1, high: int = 10) -> DataFrame:
+    """``scores`` with ``valid``: whether all of ``columns`` are given and between ``low`` and ``high``."""
+    return scores.withColumn("valid", F.coalesce(F.forall(F.array(*columns), lambda x: x.between(low, high)), F.lit(False)))
+
+
 def is_quota_error(error: Column) -> Column:
     return F.coalesce(F.contains(F.lower(error), F.lit("session limit")), F.lit(False))
 

@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
-from lexisift.lexicon import any_of, java
+from lexisift.lexicon import java
 from lexisift.operators import scan
 
-#: Mark that may fence commentary off behind a rewrite.
-FENCE = "<!--REWRITE-AUDIT-->"
 # Phrases by which a response asks for input in place of a rewrite.
 STUBS = (
     "no text provided", "no text to humanize", "what should i humanize", "what text do you want", "paste the text to humanize", "paste the text you want",
@@ -25,7 +23,11 @@ CHANGE_LINE = r"^\s*(?:transformationen?|änderungen|changes?|removed|applied|en
 CHANGE_BOLD = r"\*\*[^*\n]{0,60}(?:änderung|zusammenfassung der|wesentliche änderung|changes?\b|what changed|edits?\b|überarbeitung|bearbeitung)[^*\n]{0,60}\*\*"
 COMMENTARY = r"\n[ \t>]*(?:\*\*\s*(?:changes(?: made)?|what changed|summary|notes?|audit|rationale|why this works|comparison|diff|removed|edits|final ai audit|draft)\b|concept-noun check|fabrication check|new authorial position)"
 BANNER = r"^(?:Pre-flight:|Treating this as|\*\*Pre-flight|\*\*Audit|\*\*Final AI audit|\*\*Changes made:|\*\*Domain:)"
-AFTER_FINAL = "Changes made; What changed; Summary; Notes; Audit; Rationale; Why this works; Comparison; Diff; Removed; Edits"
+# Parts of a response under its headings.
+DRAFT = r"\*\*Draft rewrite:\*\*\s*\n(.*?)(?=\n\*\*(?:Final AI audit|Final rewrite|Changes made):|\z)"
+FINAL = r"\*\*Final rewrite:\*\*\s*\n(.*?)(?=\n\*\*(?:Changes made|What changed|Summary|Notes|Audit|Rationale|Why this works|Comparison|Diff|Removed|Edits)[: ]|\n---\s*\n|\z)"
+OTHER_HEADING = r"\*\*(?:Final|Cleaned text|Rewrite|Quick-mode rewrite):\*\*\s*\n(.*?)(?=\n\*\*|\z)"
+QUOTES = r"(?:^>\s?.*(?:\n|\z))+"
 LEAK_TOKENS = ("em dash", "em-dash", "remaining", "**change", "pre-flight", "tier-1", "→", " -> ", "audit", "removed #", "wesentliche")
 
 
@@ -96,7 +98,7 @@ def unquote(c: Column) -> Column:
     return T.strip(F.regexp_replace(T.strip(c), java("^> ?", "m"), ""))
 
 
-def cut_commentary(c: Column, fence: str = FENCE) -> Column:
+def cut_commentary(c: Column, fence: str) -> Column:
     """Without what follows the fence or a heading of commentary, whichever comes first."""
     right = java(r"\s+\z")
     at = F.instr(c, fence)
@@ -106,24 +108,22 @@ def cut_commentary(c: Column, fence: str = FENCE) -> Column:
     return F.when(c.rlike(start), cut).otherwise(c)
 
 
-def parse_response(df: DataFrame, raw: str, fence: str = FENCE) -> DataFrame:
+def parse_response(df: DataFrame, raw: str, fence: str) -> DataFrame:
     """``df`` with ``domain, preflight, draft, final`` of a raw response; parts that are missing are empty.
 
     Without the headings of a rewrite, the first that exists counts: a block under another heading,
     the last quotation, the text behind the last rule if it is no banner, the whole text if no
-    line is a banner. A null response gives empty parts.
+    line is a banner. A null response gives empty parts. ``fence`` is the mark that the responses fence commentary off with.
     """
     r = F.coalesce(F.col(raw), F.lit(""))
     take = lambda p, flags="", g=1: F.regexp_extract(r, java(p, flags), g)
     tidy = lambda c: cut_commentary(unquote(c), fence)
-    draft = take(r"\*\*Draft rewrite:\*\*\s*\n(.*?)(?=\n\*\*(?:Final AI audit|Final rewrite|Changes made):|\z)", "s")
-    final = take(rf"\*\*Final rewrite:\*\*\s*\n(.*?)(?=\n\*\*(?:{any_of(AFTER_FINAL)})[: ]|\n---\s*\n|\z)", "s")
-    other_heading = r"\*\*(?:Final|Cleaned text|Rewrite|Quick-mode rewrite):\*\*\s*\n(.*?)(?=\n\*\*|\z)"
-    quotes = T.all_matches(r, java(r"(?:^>\s?.*(?:\n|\z))+", "m"))
+    draft, final = take(DRAFT, "s"), take(FINAL, "s")
+    quotes = T.all_matches(r, java(QUOTES, "m"))
     banner = java(BANNER, "m")
     last = T.strip(F.substring_index(r, "---", -1))
     fallback = (
-        F.when(r.rlike(java(other_heading, "s")), tidy(take(other_heading, "s")))
+        F.when(r.rlike(java(OTHER_HEADING, "s")), tidy(take(OTHER_HEADING, "s")))
         .when(F.size(quotes) > 0, tidy(F.element_at(quotes, -1)))
         .when(F.contains(r, F.lit("---")) & (last != "") & ~last.rlike(banner), cut_commentary(last, fence))
         .when(~r.rlike(banner), cut_commentary(T.strip(r), fence))
@@ -134,7 +134,7 @@ def parse_response(df: DataFrame, raw: str, fence: str = FENCE) -> DataFrame:
     return df.withColumn("final", F.when((F.col("_final") != "") | (F.col("draft") != ""), F.col("_final")).otherwise(fallback)).drop("_final")
 
 
-def is_fenced(raw: Column, fence: str = FENCE) -> Column:
+def is_fenced(raw: Column, fence: str) -> Column:
     return F.contains(raw, F.lit(fence))
 
 

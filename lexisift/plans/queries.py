@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
 from lexisift.lexicon import BRIDGE, DIMENSIONS, EN, PACKS, any_of, levels, modes, pack, rules
-from lexisift.operators import evals, mining, rewrite, scan, summaries, trials
+from lexisift.operators import evals, external, mining, rewrite, scan, summaries, trials
 from lexisift.plans import sqlgen as g
 from lexisift.session import balanced, table
-from lexisift.sources import corpus
+from lexisift.sinks import reports
+from lexisift.sources import corpus, landed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,6 +304,7 @@ def response_flags(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", rewrite.is_refusal(F.col("t")).alias("refusal"), rewrite.is_change_log(F.col("t")).alias("change_log"))
 
 
+_FENCE = "<!--REWRITE-AUDIT-->"
 _WRAP = ["Treating this as **Career** writing\nPre-flight: 0 Tier-1 tells, quick\n\n**Draft rewrite:**\n", "\n**Final rewrite:**\n> ", "\n**Changes made:** none"]
 
 
@@ -310,16 +312,16 @@ _WRAP = ["Treating this as **Career** writing\nPre-flight: 0 Tier-1 tells, quick
 def response_parse(spark: SparkSession, d: str) -> DataFrame:
     line = T.strip(F.regexp_replace("input", T.SPACES, " "))
     raw = F.concat(F.lit(_WRAP[0]), line, F.lit(_WRAP[1]), line, F.lit(_WRAP[2]))
-    df = rewrite.parse_response(pairs(spark, d).select("id", raw.alias("raw")), "raw")
+    df = rewrite.parse_response(pairs(spark, d).select("id", raw.alias("raw")), "raw", _FENCE)
     return df.select("id", "domain", "preflight", "draft", "final", rewrite.quick_drop(F.col("preflight")).alias("quick"))
 
 
 @query("response_fallbacks")
 def response_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     """Every branch of the response parser over whole rewrites, with commentary and fence flags."""
-    forms = F.array(F.concat(F.lit("**Rewrite:**\n"), "input"), F.concat(F.lit("x\n> "), "input"), F.concat(F.lit("a\n---\n"), "input"), F.col("input"), F.concat("input", F.lit(f"\n{rewrite.FENCE}\nnote that follows")))
-    df = rewrite.parse_response(pairs(spark, d).select("id", F.posexplode(forms).alias("form", "raw")), "raw")
-    return df.select("id", "form", "final", rewrite.is_fenced(F.col("raw")).alias("fenced"), rewrite.has_commentary(F.col("raw"), F.col("final")).alias("commentary"))
+    forms = F.array(F.concat(F.lit("**Rewrite:**\n"), "input"), F.concat(F.lit("x\n> "), "input"), F.concat(F.lit("a\n---\n"), "input"), F.col("input"), F.concat("input", F.lit(f"\n{_FENCE}\nnote that follows")))
+    df = rewrite.parse_response(pairs(spark, d).select("id", F.posexplode(forms).alias("form", "raw")), "raw", _FENCE)
+    return df.select("id", "form", "final", rewrite.is_fenced(F.col("raw"), _FENCE).alias("fenced"), rewrite.has_commentary(F.col("raw"), F.col("final")).alias("commentary"))
 
 
 @query(
@@ -582,6 +584,61 @@ def resume_reused(spark: SparkSession, d: str) -> DataFrame:
     return evals.reused(plan, runs(spark, d).filter("value is not null").select(F.col("case_id").alias("id")), ["id"])
 
 
+@query("planned_documents", "SELECT license_class, CAST(count(*) AS BIGINT) AS sources, CAST(sum(n) AS BIGINT) AS documents FROM (VALUES " + ", ".join(f"({g.q(x.split()[3])}, {x.split()[1]})" for x in landed.SOURCES.strip().splitlines()) + ") t(license_class, n) GROUP BY ROLLUP (license_class)")
+def planned_documents(spark: SparkSession, d: str) -> DataFrame:
+    return external.planned_documents(landed.registry(spark))
+
+
+_LANDED = "(SELECT DISTINCT id AS title, text AS raw FROM fetch_de_wikipedia_ai_tagged WHERE id IS NOT NULL AND text IS NOT NULL)"
+_TRY = f"SELECT title, min(raw) AS raw, row_number() OVER (ORDER BY md5(concat('42:', title)), title) AS tried FROM {_LANDED} GROUP BY title"
+
+
+@query("collected_articles", f"SELECT title, text FROM (SELECT title, array_to_string(list_slice(w, 1, 800), ' ') AS text, row_number() OVER (ORDER BY tried) AS place FROM (SELECT title, tried, {g.spaced(g.wikitext('raw'))} AS w FROM ({_TRY}) WHERE tried <= 28) WHERE len(w) >= 200) WHERE place <= 8")
+def collected_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The sampler of tagged articles: titles in a seeded order, more tried than wanted, the first valid ones kept."""
+    df = table(spark, d, "fetch_de_wikipedia_ai_tagged").filter("id is not null and text is not null").select(F.col("id").alias("title"), F.lit("").alias("source_url"), F.col("text").alias("raw"))
+    own = landed.registry(spark).filter(F.col("name") == "wikipedia_academic")
+    docs = landed.collected(df.withColumn("name", F.lit("wikipedia_academic")), own, "2026-01-01", oversample=True)
+    return docs.select(F.col("metadata")["title"].alias("title"), "text")
+
+
+@query("result_keys", "SELECT DISTINCT id, replace(replace(regexp_replace(concat('a/', id, '.md'), '\\.[A-Za-z0-9]+$', ''), '/', '_'), '\\', '_') AS key FROM documents_ids".replace("documents_ids", "(SELECT source_url AS id FROM fetch_de_human_corpus WHERE source_url IS NOT NULL)"))
+def result_keys(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("base/a/"), F.col("source_url"), F.lit(".md"))
+    return table(spark, d, "fetch_de_human_corpus").filter("source_url is not null").select(F.col("source_url").alias("id"), landed.result_key(path, "base").alias("key")).distinct()
+
+
+@query("url_quoted", "SELECT DISTINCT title, replace(replace(replace(url_encode(replace(title, ' ', '_')), '%2F', '/'), '~', '%7E'), '%2A', '*') AS url FROM (SELECT coalesce(domain, '') || ' / ' || lang AS title FROM documents WHERE lang IS NOT NULL)")
+def url_quoted(spark: SparkSession, d: str) -> DataFrame:
+    title = F.concat(F.coalesce("domain", F.lit("")), F.lit(" / "), F.col("lang"))
+    return docs(spark, d).filter("lang is not null").select(title.alias("title")).select("title", T.url_quote(F.col("title")).alias("url")).distinct()
+
+
+_BARE = rf"regexp_replace(text, '(?s)\A---{g.S}*\n.*?\n---{g.S}*\n', '')"
+
+
+@query("frontmatter_stripped", f"SELECT doc_id, {_BARE} AS body FROM documents WHERE text IS NOT NULL")
+def frontmatter_stripped(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).filter("text is not null").select("doc_id", T.strip_frontmatter(F.col("text")).alias("body"))
+
+
+@query("decoded", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in base64, broken into lines as answers have it, and back."""
+    packed = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"[\r\n]+", "\n")
+    return docs(spark, d).filter("text is not null").select("doc_id", T.decode_base64(packed).alias("text"))
+
+
+_SAID = " OR ".join(f"contains(lower(t), {g.q(x)})" for x in rewrite.LEAK_TOKENS)
+
+
+@query("rewrite_leaks", f"SELECT id, length(t) > length(input) * 1.15 OR {_SAID} OR {_signs()[1]} AS leak FROM (SELECT id, input, concat(coalesce(reference_rewrite, ''), {g.q(chr(10))}, [{', '.join(map(g.q, _SIGNS))}][CAST(length(input) % {len(_SIGNS)} AS INT) + 1]) AS t FROM {_PAIRS})")
+def rewrite_leaks(spark: SparkSession, d: str) -> DataFrame:
+    sign = F.element_at(F.array(*map(F.lit, _SIGNS)), (F.length("input") % len(_SIGNS) + 1).cast("int"))
+    t = F.concat(F.coalesce("reference_rewrite", F.lit("")), F.lit("\n"), sign)
+    return pairs(spark, d).select("id", rewrite.leaks(F.col("input"), t).alias("leak"))
+
+
 @query("plan_grid", "SELECT d AS domain, m AS model, t AS topic FROM (SELECT unnest(['academic', 'career', 'casual']) AS d), (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['t1', 't2', 't3']) AS t)")
 def plan_grid(spark: SparkSession, d: str) -> DataFrame:
     return evals.plan_grid(spark, domain=["academic", "career", "casual"], model=["m1", "m2"], topic=["t1", "t2", "t3"])
@@ -745,6 +802,18 @@ def yaml_scalars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fetch_de_human_corpus").filter("source_url is not null").select("source_url", T.yaml_scalar(F.col("source_url")).alias("scalar")).distinct()
 
 
+@query("sample_audit", f"""WITH s AS ({g.scored(f"(SELECT doc_id, {_BARE} AS text FROM {seeded_sql('en')})", 'doc_id', 'text', 'en')}), l AS ({g.long_hits('s', 'doc_id', 'en')}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, rule) AS place FROM l WHERE hits > 0),
+t AS (SELECT doc_id, string_agg(concat(rule, ': ', hits), '; ' ORDER BY place) AS top FROM r WHERE place <= 5 GROUP BY 1)
+SELECT doc_id, words, tier1, round(d, 2) AS density, {g.band('d')} AS band, CASE WHEN {g.band('d')} <> 'LOW' THEN coalesce(top, '') ELSE '' END AS top FROM s LEFT JOIN t USING (doc_id)""")
+def sample_audit(spark: SparkSession, d: str) -> DataFrame:
+    return reports.sample_audit(seeded(docs(spark, d), "en"), "doc_id", "text")
+
+
+@query("audit_summary", f"SELECT count(DISTINCT pattern_id) AS patterns, count(*) AS cases, count(*) FILTER (signal = 'fires') AS fires, count(*) FILTER (signal = 'no_signal') AS no_signal, count(*) FILTER (signal = 'unmapped') AS unmapped FROM ({_fires()})")
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.audit_summary(evals.audit(cases(spark, d)))
+
+
 @query("source_sidecars", "SELECT license_class, license AS source, min(id) AS id, CAST(count(*) AS BIGINT) AS doc_count FROM (SELECT DISTINCT id, license, license_class FROM fetch_de_human_corpus) GROUP BY 1, 2")
 def source_sidecars(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "fetch_de_human_corpus").select("id", "license", "license_class").distinct()

@@ -17,6 +17,8 @@ TRIGGER_LABELS = (
     "Words to watch", "Phrases to watch", "Signs to watch", "Tokens to watch", "Trigger words", "Trigger words / phrases", "Trigger phrases", "Trigger pattern",
     "Häufige DE KI-Wörter", "Häufige DE KI-Phrasen", "Trigger-Wörter", "Trigger-Phrasen", "Trigger-Muster", "Zu beobachtende Phrasen", "Zu beobachtende Wörter", "Anzeichen",
 )
+# Fixed value: the quoted block under a label of an example.
+BEFORE_BLOCK = r"\*\*(?:Before|Vorher)(?:\s*\([^)]*\))?:\*\*\s*\n>\s*(.+?)(?=\n\n|\n\*\*|\z)"
 
 
 def pattern_files(spark: SparkSession, path: str) -> DataFrame:
@@ -51,9 +53,9 @@ def json_lines(spark: SparkSession, path: str, schema: str = PROBE) -> DataFrame
 
 
 def latest_before(revisions: DataFrame, key: str, when: str, text: str, cutoff: str | None = None) -> DataFrame:
-    """``key, text``: each page's last revision, of those up to ``cutoff``."""
+    """``key, text``: each page's last revision, of those up to ``cutoff``; of equally late ones the greatest text."""
     rows = revisions if cutoff is None else revisions.filter(F.col(when) <= cutoff)
-    return rows.groupBy(key).agg(F.max_by(text, when).alias(text))
+    return rows.groupBy(key).agg(F.max_by(text, F.struct(when, text)).alias(text))
 
 
 def records(spark: SparkSession, path: str, languages: tuple[str, ...] = ("de", "ger", "deu")) -> DataFrame:
@@ -99,7 +101,7 @@ def next_heading(heads: DataFrame, key: str, start: str) -> DataFrame:
 
 def before_inputs(body: F.Column) -> F.Column:
     """Texts of the quoted blocks under a Before or Vorher label, on one line each."""
-    raw = T.all_matches(body, java(r"\*\*(?:Before|Vorher)(?:\s*\([^)]*\))?:\*\*\s*\n>\s*(.+?)(?=\n\n|\n\*\*|\z)", "s"), 1)
+    raw = T.all_matches(body, java(BEFORE_BLOCK, "s"), 1)
     return F.transform(raw, lambda x: T.strip(F.regexp_replace(F.regexp_replace(x, r"\n>\s?", " "), java(r"\s+"), " ")))
 
 

@@ -27,3 +27,19 @@ def test_fill_and_table_function(spark):
     assert spark.range(1).select(external.fill("Hi {n}!", {"n": F.lit("x")})).first()[0] == "Hi x!"
     external.register_sql(spark)
     assert [r[0] for r in spark.sql("SELECT * FROM ngrams('The quick, brown 42 fox', 2)").collect()] == ["the quick", "quick brown", "brown fox"]
+
+
+def test_calls_that_hang(spark):
+    import time
+
+    def call(p: str) -> str:
+        time.sleep(30 if p == "slow" else 0)
+        return p
+
+    got = {r.id: r.status for r in external.respond(spark.createDataFrame([(1, "a"), (2, "slow")], "id long, p string"), "id", "p", call, attempts=1, timeout=0.5).collect()}
+    assert got == {1: "ok", 2: "failed"}
+
+
+def test_checked_scores(spark):
+    df = spark.createDataFrame([(1, 5), (0, 5), (None, 5), (10, 11)], "a int, b int")
+    assert [r.valid for r in external.checked_scores(df, ["a", "b"]).collect()] == [True, False, False, False]
