@@ -103,8 +103,8 @@ EN = (
     Rule("curly_quotes", "curly quotation marks", r"[‘’“”]"),
     Rule("title_case_heading", "title case headings", r"^#{1,6}\s+(?:[A-Z][a-z]+\s+){2,}[A-Z][a-z]+\s*$", "m"),
     Rule("placeholder_text", "placeholders", r"\[(?:INSERT|YOUR|BRAND|YEAR|COMPANY|NAME|TITLE|TODO|FILL|ADD CITATION|PLACEHOLDER)[^\]]*\]|\b\d{4}-xx-xx\b|<placeholder>|\bXXXX\b|___+", "i"),
-    Rule("reference_markup_artifact", "reference markup", any_of(r"turn0(?:search|news|image)\d+; citeturn0\w+; oai_?citation; :contentReference\[oaicite; <grok_card[^>]*>; referrer=grok\.com; utm_source=(?:chatgpt|copilot|openai|grok)\.com; \?utm_source=chatgpt; \[web:\d+\]; \[attached_file:\d+\]"), "i"),
-    Rule("markdown_contamination", "markup and meta prompts", any_of(r"```(?:markdown|wikitext)\b; Would you like me to (?:convert|expand|add|reformat|adjust|rewrite); Here(?:'s| is) the (?:formatted|rewritten|updated|revised) version; I (?:have|'ve) (?:rewritten|reformatted|updated) (?:the|this|your)"), "i"),
+    Rule("reference_markup_artifact", "reference markup", r"turn0(?:search|news|image)\d+|citeturn0\w+|oai_?citation|:contentReference\[oaicite|<grok_card[^>]*>|referrer=grok\.com|utm_source=(?:chatgpt|copilot|openai|grok)\.com|\?utm_source=chatgpt|\[web:\d+\]|\[attached_file:\d+\]", "i"),
+    Rule("markdown_contamination", "markup and meta prompts", r"```(?:markdown|wikitext)\b|Would you like me to (?:convert|expand|add|reformat|adjust|rewrite)|Here(?:'s| is) the (?:formatted|rewritten|updated|revised) version|I (?:have|'ve) (?:rewritten|reformatted|updated) (?:the|this|your)", "i"),
     Rule("trailing_emphasis_fragment", "trailing fragments", r"[.!?]\s+(?:[A-Z][a-z'-]+(?:\s+[a-z][a-z'-]+){0,3})\s*[.!?]\s*(?:\n|$)"),
     Rule("fragmented_header", "fragmented headers", r"^#{1,6}\s+\S[^\n]*\n\s*\n(?:[A-Z][a-z'-]+(?:\s+[\w'-]+){0,10})\s*\.?\s*\n\s*\n", "m"),
     Rule("challenges_section", "challenges section", r"^#{1,6}\s+(?:Challenges?(?:\s+and\s+\w+)?|Future\s+Outlook|Future\s+Prospects?|Outlook|Despite\s+\w+|Limitations\s+and\s+\w+)\s*$|\bDespite (?:its\s+|these\s+)?(?:industrial\s+|economic\s+)?(?:challenges|prosperity|growth)[^.]{0,80}(?:continues\s+to\s+thrive|faces\s+(?:several\s+|many\s+|typical\s+)?challenges)\b", "im"),
@@ -123,7 +123,7 @@ DE = (
     Rule("de_puffery", "puffery", vocabulary(f"verfügt über; lebendig; nahtlos{_E}; robust{_E}; hochmodern{_E}; bahnbrechend{_E}; renommiert{_E}; atemberaubend{_E}; beeindruckend{_E}; beispielhaft{_E}; unbedingt besuchen; zukunftsorientiert{_E}; wegweisend{_E}"), "i"),
     Rule("de_ai_vocab", "overused vocabulary", vocabulary(f"darüber hinaus; ganzheitlich{_E}; umfassend{_E}; facettenreich{_E}; transformativ{_E}; zukunftsweisend{_E}; maßgeblich{_E}; prägend{_E}; es ist wichtig zu betonen; in der heutigen Zeit; vor diesem Hintergrund"), "i"),
     Rule("de_copula_avoidance", "copula avoidance", vocabulary(r"gilt als; fungiert als; stellt\s+\S+\s+dar; erweist sich als; verkörpert; repräsentiert"), "i"),
-    Rule("de_sycophancy", "sycophancy", r"(?:^|\.\s+|\!\s+)(" + any_of("Natürlich!; Gerne!; Selbstverständlich!; Super Frage!; Das ist eine (?:sehr )?gute Frage; Sie haben absolut Recht; Das ist ein ausgezeichneter Punkt; Vielen Dank für Ihre Frage") + ")[!]?", "i"),
+    Rule("de_sycophancy", "sycophancy", r"(?:^|\.\s+|\!\s+)(Natürlich!|Gerne!|Selbstverständlich!|Super Frage!|Das ist eine (?:sehr )?gute Frage|Sie haben absolut Recht|Das ist ein ausgezeichneter Punkt|Vielen Dank für Ihre Frage)[!]?", "i"),
     Rule("de_filler", "filler phrases", vocabulary("Ich hoffe,? das hilft; Lassen Sie mich wissen; Lass mich wissen(?:,? ob)?; Es ist wichtig (?:zu beachten|zu betonen|festzuhalten),? dass; Es sei darauf hingewiesen,? dass; Es versteht sich von selbst,? dass; wie bereits erwähnt; es bleibt festzuhalten; an dieser Stelle"), "i"),
     Rule("de_signposting", "signposting", vocabulary("Lassen (?:Sie|wir) (?:uns )?(?:eintauchen|das aufschlüsseln); schauen wir uns (?:das|nun|einmal) an; sehen wir uns (?:nun|an); ohne weitere Umschweife; Im Folgenden (?:wird|werden|erläutern|behandeln); lassen Sie uns nun; hier ist,? was Sie wissen müssen"), "i"),
     Rule("de_sentence_opener_intensifier", "opening intensifier", opener("Letztendlich; Letztlich; Tatsächlich; Im Wesentlichen; Offensichtlich; Bemerkenswert; Bedeutsam; Fundamental", r"\s*[,.]"), "im"),
