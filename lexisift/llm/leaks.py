@@ -7,7 +7,7 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -20,7 +20,7 @@ from lexisift.session import balanced
 PIECE = 12
 #: Pieces in a row that may fail inside a passage: a changed long word and its neighbours.
 GAP = 3
-#: Most bytes of items that are sent to every task.
+#: Most bytes of items that are sent to every task at a time.
 MAX_ITEM_BYTES = 64 << 20
 
 
@@ -236,30 +236,47 @@ class Matcher:
         return [k for k, (c, s) in self.coverage(text).items() if c >= self.share and s >= 2]
 
 
-def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, share: float = 0.45) -> DataFrame:
+def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, share: float = 0.45, block_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """``key, item``: the documents that hold at least ``share`` of an item's words, and the items.
 
     The words must stand in the item's order, in one or two passages; case, punctuation, spacing,
     line marks, look-alike and invisible characters and single changed words do not matter. Null,
     empty and short texts hold nothing; items with fewer than 24 letters are not searched.
 
-    The items are a fixed test set: they are sent to every task if they have at most
-    ``MAX_ITEM_BYTES`` bytes (checked), else an error asks for a search in blocks of items. The
-    documents are read once and not shuffled; each text is searched whole, by one automaton
-    over the pieces of all items, and only around exact piece hits by edit distance.
+    The items are a fixed test set, sent to every task in blocks of at most ``MAX_ITEM_BYTES`` bytes (or one longer item): one
+    block, and one pass over the documents, for any usual set. The
+    documents are not shuffled; each text is searched whole, by one automaton
+    over the pieces of all items of a block, and only around exact piece hits by edit distance.
     """
-    known = [(r[0], r[1]) for r in items.select(item, item_text).filter(f"{item_text} is not null and {item} is not null").distinct().toLocalIterator()]
-    if sum(len(t.encode()) for _, t in known) > MAX_ITEM_BYTES:
-        raise ValueError("too many items for one search; pass them in blocks")
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    known = items.select(item, item_text).filter(f"{item_text} is not null and {item} is not null").distinct()
     rows = balanced(docs.select(docs[key].alias("key"), docs[text].alias("text")).filter("text is not null"))
     kinds = rows.schema["key"].dataType.simpleString(), items.schema[item].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, share)
-        for b in batches:
-            found = [(n, k) for n, t in enumerate(b.column(1).to_pylist()) for k in matcher.leaks(t)]
-            ids = b.column(0).take(pa.array([n for n, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([k for _, k in found], pa.int64() if kinds[1] == "bigint" else None)], ["key", "item"])
-
-    return rows.mapInArrow(run, f"key {kinds[0]}, item {kinds[1]}").distinct().withColumnsRenamed({"key": key, "item": item})
+    def searched(block: list[tuple]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, share)
+            for b in batches:
+                found = [(n, k) for n, t in enumerate(b.column(1).to_pylist()) for k in matcher.leaks(t)]
+                ids = b.column(0).take(pa.array([n for n, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([k for _, k in found], pa.int64() if kinds[1] == "bigint" else None)], ["key", "item"])
+
+        return rows.mapInArrow(run, f"key {kinds[0]}, item {kinds[1]}")
+
+    parts = [searched(block) for block in blocks((tuple(r) for r in known.toLocalIterator()), block_bytes)]
+    return reduce(DataFrame.unionByName, parts).distinct().withColumnsRenamed({"key": key, "item": item})
+
+
+def blocks(items: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Items in blocks of at most ``most`` bytes of text; a longer item is a block of its own; one empty block of nothing."""
+    block, size, any_ = [], 0, False
+    for r in items:
+        n = len(r[1].encode())
+        if block and size + n > most:
+            yield block
+            block, size, any_ = [], 0, True
+        block.append(r)
+        size += n
+    if block or not any_:
+        yield block

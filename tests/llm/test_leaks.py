@@ -84,3 +84,13 @@ def test_rows(spark):
     assert got == {(1, 1), (4, 1)}
     assert leaks.leaked(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert leaks.leaked(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+def test_blocks_of_items(spark):
+    many = [(n, item(n)) for n in range(9)]
+    docs = spark.createDataFrame([(n, "x " * n + item(n)) for n in range(9)], "doc_id long, text string")
+    items = spark.createDataFrame(many, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked(docs, "doc_id", "text", items, "item_id", "text", block_bytes=1000).collect()}
+    assert got == {(n, n) for n in range(9)}
+    cut = list(leaks.blocks(iter(many), 1000))
+    assert [r for b in cut for r in b] == many and len(cut) > 2 and list(leaks.blocks(iter([]), 5)) == [[]]
