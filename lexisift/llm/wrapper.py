@@ -68,8 +68,16 @@ def plain(line: str) -> str:
     return (unicodedata.normalize("NFC", line.translate(_tools()[0])) if not line.isascii() and _tools()[5].search(line) else line).strip()
 
 
+_MARKS, _DIGITS, _WORD, _HEAD = re.compile(r"^[\W_]+"), re.compile(r"\d+"), re.compile(r"\w+"), re.compile(r"\s*(#{1,6}|={2,6})\s")
+_ENDED = re.compile(r"[.!?…“\"]\s*$|[.!?]\s+[A-ZÄÖÜ„\"]")
+_NO_TITLE = re.compile(r"[|\t;(),]|\s{3,}|[.!?]\s")
+_NUMBERED = re.compile(r"\d+[.)]\s")
+_TRAIL = re.compile(r"\s+[›»>/]\s+")
+
+
 def _token(raw: str) -> str:
-    return re.sub(r"\d+", "#", re.sub(r"^[\W_]+", "", raw) or raw).rstrip(" :")
+    tok = raw if raw[:1].isalpha() else _MARKS.sub("", raw) or raw
+    return _DIGITS.sub("#", tok).rstrip(" :")
 
 
 def token(line: str) -> str:
@@ -106,26 +114,26 @@ def site(url: str | None) -> str | None:
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(r"\w+", text)
+    return _WORD.findall(text)
 
 
 def _sentence(line: str) -> bool:
     """Whether a line reads as running prose: several words and an end of sentence or a comma."""
     words = _words(line)
-    if len(words) >= 4 and re.search(r"[.!?…“\"]\s*$|[.!?]\s+[A-ZÄÖÜ„\"]", line):
+    if len(words) >= 4 and _ENDED.search(line):
         return True
     return len(words) >= 14 and 10 * sum(w[0].islower() for w in words) >= 3 * len(words)
 
 
 def _headline(raw: str, tok: str) -> bool:
     """Whether a line could be the title of a page: few words, no end of a sentence, no list mark."""
-    if not 1 < len(_words(tok)) <= 9 or tok[-1:] in ".!?,;:“\"" or re.search(r"[|\t;(),]|\s{3,}|[.!?]\s", raw.strip()) or tok.split()[-1] in OPEN_END:
+    if tok[-1:] in ".!?,;:“\"" or not 1 < len(_words(tok)) <= 9 or _NO_TITLE.search(raw.strip()) or tok.split()[-1] in OPEN_END:
         return False
-    return (raw[:1].isupper() or raw[:1].isdigit()) and not re.match(r"\d+[.)]\s", raw) or raw[:1] in "»›"
+    return (raw[:1].isupper() or raw[:1].isdigit()) and not _NUMBERED.match(raw) or raw[:1] in "»›"
 
 
 def _heading_mark(raw: str) -> bool:
-    return bool(re.match(r"\s*(#{1,6}|={2,6})\s", raw))
+    return bool(_HEAD.match(raw))
 
 
 def _shape(raw: str, tok: str) -> int:
@@ -205,7 +213,7 @@ def furniture(raws: list[str], own: Site, words: Words, noticed: list[bool]) ->
 
     def trail(i: int) -> bool:
         """Whether a line is a node with more behind it, or leads over nodes to a title."""
-        cuts = [m.span() for m in re.finditer(r"\s+[›»>/]\s+", toks[i])]
+        cuts = [m.span() for m in _TRAIL.finditer(toks[i])]
         if any(digest(toks[i][:a].rstrip(" :")) in own.items for a, _ in cuts[-3:] if a):
             return True
         parts = [toks[i][a:b] for a, b in zip([0, *(b for _, b in cuts)], [a for a, _ in cuts])]
