@@ -70,61 +70,89 @@ def spoken_language(text: str) -> str | None:
     return best if share[best] >= 0.05 else None
 
 
+_GARBLED = re.compile(r"[�\x80-\x9f]|[ÃÂ€¤¶¼¢]")
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+_LETTER = re.compile(r"[^\W\d_]")
+# Signs, or digits beside letters, in the midst of a word.
+_INSIDE = re.compile(r"[0-9!\"§|;,.^<>=]|[^\W\d_]['’:][^\W\d_]{3}")
+_MACHINE = re.compile(r"\b0x[0-9a-fA-F]{2,}\b|\w::\w|\w\.\w+\(.*\);|\)\s*\{.*\}\s*$")
+_SIGNS = re.compile(r"[~^<>@#&*\\_%]")
+_FRAME = re.compile(r"[|!{}+=-][|!{}+=\s-]*")
+_COLUMNS = re.compile(r"\S\s{3,}(?=\S)")
+_FIGURES = re.compile(r"^\S[^:]{0,40}[:=]\s*[\d.,]+\s*([/|;]\s*[\d.,]+\s*)*$")
+_NUMBER, _LONGER = re.compile(r"(?<!\w)\d[\d.,]*(?!\w)"), re.compile(r"[^\W\d]{2,}")
+_MARKED = re.compile(MARK + r"\s*\S")
+_MARK = re.compile(MARK)
+_STOP = re.compile(r"[.!?:…][\"”“»]*$")
+_LETTERS, _BLANKS, _WORDS = re.compile(r"[^\W\d_]+"), re.compile(r"\s"), re.compile(r"\w+")
+_UNBROKEN, _TWO = re.compile(r"\S{40,}"), re.compile(r"[^\W\d_]{2,}")
+_RARE = re.compile(r"[bcdfghjklmnpqrstvwxzß]{6,}|q(?!u)|[bcdfghjklmnpqrstvwxz]{5,}$|^[bcdfgjklmnpqrtvwxz]{4,}|[aeiouäöüy]{4,}|j[kqxz]|[zwf]j|ö[öäü]")
+_HEADING = re.compile(r"(#{1,6}|={2,6})\s")
+
+
 def _garbled(word: str) -> bool:
-    return bool(re.search(r"[�\x80-\x9f]|[ÃÂ€¤¶¼¢]", word))
+    return bool(_GARBLED.search(word))
 
 
 @lru_cache(4096)
 def _misread(line: str) -> bool:
     """Whether a line is text with wrong signs in the midst of its words, as of a bad scan."""
-    tokens = [t for t in (re.sub(r"^[\W_]+|[\W_]+$", "", x) for x in line.split()) if len(t) > 2]
-    inside = sum(bool(re.search(r"[^\W\d_]", t) and re.search(r"[0-9!\"§|;,.^<>=]|[^\W\d_]['’:][^\W\d_]{3}", t)) for t in tokens)
-    return len(tokens) >= 5 and 4 * inside >= len(tokens)
+    count, odd = 0, []
+    for x in line.split():
+        y = x.strip(".,;:!?\"„“”()")
+        if y.isalpha():
+            count += len(y) > 2
+        elif len(t := _OUTER.sub("", x)) > 2:
+            count += 1
+            odd.append(t)
+    if count < 5 or 4 * len(odd) < count:
+        return False
+    return 4 * sum(bool(_LETTER.search(t) and _INSIDE.search(t)) for t in odd) >= count
 
 
 def _machine(line: str) -> bool:
     """Whether a line is of a log or a program: addresses, scoped names, calls and blocks."""
-    return bool(re.search(r"\b0x[0-9a-fA-F]{2,}\b|\w::\w|\w\.\w+\(.*\);|\)\s*\{.*\}\s*$", line))
+    return bool(_MACHINE.search(line))
 
 
 @lru_cache(4096)
 def _row(line: str) -> bool:
     """Whether a line is a row of fields or values."""
     s = line.strip()
-    if _misread(s) or _machine(s) or len(re.findall(r"[~^<>@#&*\\_%]", s)) >= 3:
+    if _misread(s) or _machine(s) or len(_SIGNS.findall(s)) >= 3:
         return False
-    if re.fullmatch(r"[|!{}+=-][|!{}+=\s-]*", s) or s.startswith(("|", "!")) and s.count("|") + s.count("!") >= 2:
+    if _FRAME.fullmatch(s) or s.startswith(("|", "!")) and s.count("|") + s.count("!") >= 2:
         return True
-    if s.count(";") >= 2 and not re.search(r";\s", s) or "\t" in s or s.count("|") >= 2 or len(re.findall(r"\S\s{3,}(?=\S)", s)) >= 2:
+    if s.count(";") >= 2 and "; " not in s and not re.search(r";\s", s) or "\t" in s or s.count("|") >= 2 or "   " in s and len(_COLUMNS.findall(s)) >= 2:
         return True
-    return bool(re.match(r"^\S[^:]{0,40}[:=]\s*[\d.,]+\s*([/|;]\s*[\d.,]+\s*)*$", s)) or len(re.findall(r"(?<!\w)\d[\d.,]*(?!\w)", s)) >= 3 and len(re.findall(r"[^\W\d]{2,}", s)) <= 3
+    return bool(_FIGURES.match(s)) or len(_NUMBER.findall(s)) >= 3 and len(_LONGER.findall(s)) <= 3
 
 
 def _entry(line: str) -> bool:
     """Whether a line is an entry of a list."""
     s = line.strip()
-    if re.match(MARK + r"\s*\S", s):
+    if _MARKED.match(s):
         return True
-    return len(s.split()) <= 7 and not re.search(r"[.!?:…][\"”“»]*$", s) and bool(re.search(r"[^\W\d_]{2,}", s))
+    return len(s.split()) <= 7 and not _STOP.search(s) and bool(_TWO.search(s))
 
 
 @lru_cache(4096)
 def _noise(line: str) -> bool:
     """Whether a line is garbled, encoded or machine text."""
     s = line.strip()
-    words = re.findall(r"[^\W\d_]+", s)
-    letters = sum(map(len, words))
-    signs = len(re.sub(r"\s", "", s))
     if _misread(s) or _machine(s):
         return True
-    if not signs or letters * 2 < signs and len(re.findall(r"\d", s)) * 2 < signs or re.search(r"\S{40,}", s):
-        return True
-    tokens = s.split()
-    if len(tokens) >= 4 and sum(map(_garbled, tokens)) * 4 >= len(tokens):
+    words = _LETTERS.findall(s)
+    letters = sum(map(len, words))
+    signs = len(_BLANKS.sub("", s))
+    if not signs or letters * 2 < signs and 2 * sum(map(str.isdigit, s)) < signs or _UNBROKEN.search(s):
         return True
+    if _GARBLED.search(s):
+        tokens = s.split()
+        if len(tokens) >= 4 and sum(map(_garbled, tokens)) * 4 >= len(tokens):
+            return True
     long = [w.lower() for w in words if len(w) > 3]
-    odd = sum(bool(re.search(r"[bcdfghjklmnpqrstvwxzß]{6,}|q(?!u)|[bcdfghjklmnpqrstvwxz]{5,}$|^[bcdfgjklmnpqrtvwxz]{4,}|[aeiouäöüy]{4,}|j[kqxz]|[zwf]j|ö[öäü]", w)) for w in long)
-    return len(long) >= 3 and odd * 3 >= len(long)
+    return len(long) >= 3 and 3 * sum(bool(_RARE.search(w)) for w in long) >= len(long)
 
 
 # What a line of plain prose never has; lines with none of it need no closer look.
@@ -141,12 +169,12 @@ def looks(lines: list[str]) -> dict[str, float]:
     """
     raw = [x for x in lines if x.strip()]
     clean = [plain(x) if "\t" not in x else x for x in raw]
-    words = re.findall(r"\w+", " ".join(clean).lower())
+    words = _WORDS.findall(" ".join(clean).lower())
     # A sentence broken over several lines is put together before it is judged.
     blocks: list[str] = []
     before = ""
     for c in clean:
-        open_end = before and not re.search(r"[.!?:…][\"”“»]*$", before) and not re.match(MARK, c) and not _row(before) and not _row(c)
+        open_end = before and not _STOP.search(before) and not _MARK.match(c) and not _row(before) and not _row(c)
         if open_end and (c[:1].islower() or before.split()[-1] in OPEN_END or len(before.split()) > 4 and len(c.split()) > 2) and not _noise(blocks[-1]):
             blocks[-1] += " " + c
         else:
@@ -155,7 +183,7 @@ def looks(lines: list[str]) -> dict[str, float]:
     weight: Counter = Counter()
     for b in blocks:
         kind = _look(b)
-        weight[kind] += len(re.sub(r"\s", "", b))
+        weight[kind] += len(_BLANKS.sub("", b))
         weight[f"{kind} lines"] += 1
     total = sum(weight[k] for k in ("prose", "list", "table", "junk")) or 1
     # One short line is a title or a remark, not a list.
@@ -184,7 +212,7 @@ def _repeated(words: list[str]) -> float:
 
 def _look(b: str) -> str:
     """What a line, or the lines of a sentence, look like: prose, heading, list, table or junk."""
-    w = re.findall(r"\w+", b.lower())
+    w = _WORDS.findall(b.lower())
     common = sum(x in _COMMON for x in w) / max(1, len(w))
     sentence = len(w) >= 4 and common >= 0.08 and bool(_END.search(b))
     if sentence and common >= 0.15 and not _ODD.search(b):
@@ -195,7 +223,7 @@ def _look(b: str) -> str:
         return "junk"
     if sentence or common >= 0.18 and len(w) >= 8:
         return "prose"
-    if re.match(r"(#{1,6}|={2,6})\s", b):
+    if _HEADING.match(b):
         return "heading"
     return "list" if _entry(b) else "prose" if common >= 0.1 else "junk"
 
