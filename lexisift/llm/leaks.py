@@ -96,6 +96,22 @@ def best_match(piece: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def may_match(piece: str, text: str, errors: int) -> bool:
+    """Whether ``piece`` may be in ``text`` with so many errors: each error takes at most two of its pairs of letters away."""
+    lost = 2 * errors
+    for g in _pairs(piece):
+        if g not in text:
+            lost -= 1
+            if lost < 0:
+                return False
+    return True
+
+
+@lru_cache(100_000)
+def _pairs(piece: str) -> tuple[str, ...]:
+    return tuple(piece[i : i + 2] for i in range(len(piece) - 1))
+
+
 def between(places: Sequence[int], a: int, b: int) -> Sequence[int]:
     """Those of the sorted ``places`` from ``a`` to ``b``."""
     return places[bisect_left(places, a) : bisect_right(places, b)]
@@ -120,8 +136,9 @@ def passage(item: Item, doc: str, i: int, q: int, exact: dict[int, list[int]]) -
             if near:
                 found = min(near, key=lambda x: abs(x - expected))
             else:
-                a = max(0, expected - slack)
-                d, end = best_match(item.piece(k), doc[a : max(0, expected) + size + slack])
+                a, piece = max(0, expected - slack), item.piece(k)
+                window = doc[a : max(0, expected) + size + slack]
+                d, end = best_match(piece, window) if may_match(piece, window, size // 4) else (size, 0)
                 found = a + end - size if 4 * d <= size else None
             if found is None:
                 failed += 1

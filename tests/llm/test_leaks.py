@@ -94,3 +94,16 @@ def test_blocks_of_items(spark):
     assert got == {(n, n) for n in range(9)}
     cut = list(leaks.blocks(iter(many), 1000))
     assert [r for b in cut for r in b] == many and len(cut) > 2 and list(leaks.blocks(iter([]), 5)) == [[]]
+
+
+def test_pairs_of_letters_lose_no_match():
+    rng = random.Random(11)
+    for _ in range(3000):
+        piece = "".join(rng.choice("abc") for _ in range(rng.randint(12, 23)))
+        text = list("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) + piece + "".join(rng.choice("abc") for _ in range(5)))
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        text = "".join(text)
+        if leaks.best_match(piece, text)[0] <= len(piece) // 4:
+            assert leaks.may_match(piece, text, len(piece) // 4)
