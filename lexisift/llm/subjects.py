@@ -77,6 +77,17 @@ def spoken(cut: list[str], langs: tuple[str, ...]) -> list[list[str]]:
     return [[f"{lang}:{w}" for w in p] for p in parts for lang in (best(p, whole),)]
 
 
+def packed(sentence: list[str]) -> str:
+    """Words of a sentence, each behind its language's code, as one string with the code once in front."""
+    return " ".join([sentence[0].partition(":")[0], *(w.partition(":")[2] for w in sentence)])
+
+
+def unpacked(sentence: F.Column) -> F.Column:
+    """Words of a ``packed`` sentence, each behind its language's code."""
+    code = F.concat(F.lit(" "), F.substring_index(sentence, " ", 1), F.lit(":"))
+    return F.slice(F.split(F.replace(sentence, F.lit(" "), code), " "), 2, 1 << 30)
+
+
 @lru_cache(1)
 def _function() -> dict[str, frozenset[str]]:
     return {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
@@ -364,11 +375,11 @@ def subjects_of(docs: DataFrame, key: str, text: str, examples: DataFrame, subje
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spoken(sentences(t), langs) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.string())))], ["key", "words"])
+            found = [[packed(s) for s in spoken(sentences(t), langs) if s] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["key", "sentences"])
 
-    split = checkpointed(balanced(rows).mapInArrow(cut, f"key {kind}, words array<array<string>>"))
-    frequent = frequent_words(split)
+    split = checkpointed(balanced(rows).mapInArrow(cut, f"key {kind}, sentences array<string>"))
+    frequent = frequent_words(split.select(F.transform("sentences", unpacked).alias("words")))
     from_examples = Counter(w for _, t in given for w in {w for s in spoken(sentences(t), langs) for w in s})
     vocabulary = sorted(frequent | {w for w, n in from_examples.items() if n > 1} | {f"{k}:{w}" for k in langs for w in FUNCTION_WORDS[k] if len(w) > 1})
     voc = spark.sparkContext.broadcast(vocabulary)
@@ -376,7 +387,7 @@ def subjects_of(docs: DataFrame, key: str, text: str, examples: DataFrame, subje
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(voc.value)
         for b in batches:
-            found = [[v.numbers(s) for s in d] for d in b.column(1).to_pylist()]
+            found = [[v.numbers([f"{lang}:{w}" for w in ws]) for lang, *ws in map(str.split, d)] for d in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["key", "s"])
 
     corpus = checkpointed(split.mapInArrow(number, f"key {kind}, s array<array<int>>"))
