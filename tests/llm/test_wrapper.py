@@ -150,3 +150,17 @@ def test_rarer_constants_of_a_large_site(spark):
     df = spark.createDataFrame(rows, "id string, source_url string, text string")
     got = {r.id: r.outside for r in wrapper.page_lines(df, "id", "source_url", "text").collect()}
     assert all(got[str(n)] == ([0, 1, 2, 6] if n % 20 == 0 else [0, 1, 6] if n % 20 == 1 else [0, 1, 5]) for n in range(300))
+
+
+def test_rows_of_lines(spark):
+    """Nulls, blanks, repeated rows, one key with two texts, odd URLs and extra columns with clashing names."""
+    foot = "Heft Blaue Brille aus dem Haus"
+    text = lambda n: f"Der Brief {n} kam am Abend an, und alle lasen ihn in Ruhe durch.\n\n{foot}"
+    rows = [(str(n), "HTTP://www.A.example:80/x" if n % 2 else "a.example", text("abcdefghijklmnopqrst"[n])) for n in range(20)]
+    rows += [rows[3]] * 30 + [("3", "a.example", text("zwei")), (None, "a.example", text("y")), ("n", "a.example", None), ("b", "a.example", " \n "), ("u", None, text("u")), ("v", "://", text("v"))]
+    df = spark.createDataFrame(rows, "id string, source_url string, text string").selectExpr("id", "source_url", "text", "1 as key", "2 as site", "3 as tokens", "4 as n", "5 as h")
+    got = wrapper.outside_lines(df, "id", "source_url", "text")
+    assert got.columns == ["id", "line_no"]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted((str(n), 2) for n in range(20))
+    assert wrapper.outside_lines(df.limit(0), "id", "source_url", "text").count() == 0
