@@ -32,6 +32,17 @@ def present(terms: Column, text: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(low, F.lower(t)))
 
 
+def selected(cases: DataFrame, **wanted: list | None) -> DataFrame:
+    """Rows of ``cases`` whose columns are among the ``wanted`` values (by column name); a column without values takes all."""
+    return reduce(lambda df, kv: df.filter(F.col(kv[0]).isin(kv[1])) if kv[1] else df, wanted.items(), cases)
+
+
+def previewed(cases: DataFrame, text: str, size: int = 200) -> DataFrame:
+    """``cases`` with ``preview`` (the first ``size`` signs of ``text``, lower case) and ``pieces``, its number of pieces between blanks; empty and 0 for a null text."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    return cases.withColumn("preview", F.substring(F.lower(c), 1, size)).withColumn("pieces", T.spaced_word_count(c))
+
+
 def case_status(input: str = "input") -> Column:
     """true_negative, unscorable_empty, unscorable_no_trigger or scorable."""
     found = F.size(present(F.col("expected_changes"), F.col(input)))

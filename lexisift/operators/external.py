@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexisift.lexicon import java
+
 
 def fill(template: str, fields: dict[str, Column]) -> Column:
     """``template`` with ``{name}`` replaced by columns."""
@@ -92,7 +94,12 @@ def planned_documents(registry: DataFrame) -> DataFrame:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """``ngrams(text, n)`` as a table function for SQL; the array form of the library is faster."""
+    """For SQL: ``ngrams(text, n)`` as a table function, row by row in Python, and ``ngram_array(text, n)`` as an expression, which is the fast one."""
+    bare = f"regexp_replace(t, r'{java(r'^[^\w]+|[^\w]+$')}', '')"
+    tokens = f"filter(transform(regexp_extract_all(lower(text), r'{java(r'\S+')}', 0), t -> {bare}), t -> length(t) > 1 AND NOT t RLIKE r'{java(r'^\d+$')}')"
+    grams = f"transform(filter(sequence(1, size({tokens})), i -> i <= size({tokens}) - n + 1), i -> array_join(slice({tokens}, i, n), ' '))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ngram_array(text STRING, n INT) RETURNS ARRAY<STRING> RETURN CASE WHEN size({tokens}) >= n THEN {grams} ELSE array() END")
+
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="ngram string")

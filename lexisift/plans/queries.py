@@ -437,6 +437,12 @@ def pattern_summary(spark: SparkSession, d: str) -> DataFrame:
     return summaries.pattern_summary(verdicts(spark, d))
 
 
+@query("case_previews", f"SELECT pattern_id, id, substring(lower(coalesce(c.input, '')), 1, 200) AS preview, CAST(len({g.spaced("coalesce(c.input, '')")}) AS BIGINT) AS pieces FROM {_CASES} WHERE coalesce(c.domain, '') IN ('career', 'legal', '')")
+def case_previews(spark: SparkSession, d: str) -> DataFrame:
+    df = evals.selected(cases(spark, d), domain=["career", "legal", ""], pattern_id=None)
+    return evals.previewed(df, "input").select("pattern_id", "id", "preview", "pieces")
+
+
 _RUNS = "(SELECT DISTINCT * FROM runs)"
 _LAST = f"(SELECT case_id, run_idx, arg_max(value, loaded_at) FILTER (loaded_at IS NOT NULL) AS value FROM (SELECT case_id, run_idx, coalesce(value, -1) AS value, loaded_at FROM {_RUNS}) GROUP BY 1, 2)"
 

@@ -131,6 +131,7 @@ def write_report(folder: str, name: str, summary: Row, patterns: list[Row] | Non
     return a, b
 
 
+# The labels and widths of the texts below.
 RULE = "-" * 60
 
 

@@ -27,6 +27,8 @@ def test_fill_and_table_function(spark):
     assert spark.range(1).select(external.fill("Hi {n}!", {"n": F.lit("x")})).first()[0] == "Hi x!"
     external.register_sql(spark)
     assert [r[0] for r in spark.sql("SELECT * FROM ngrams('The quick, brown 42 fox', 2)").collect()] == ["the quick", "quick brown", "brown fox"]
+    assert spark.sql("SELECT ngram_array('The quick, brown 42 fox', 2)").first()[0] == ["the quick", "quick brown", "brown fox"]
+    assert [spark.sql(f"SELECT ngram_array({t}, 3)").first()[0] for t in ("'a one'", "''", "NULL")] == [[], [], []]
 
 
 def test_calls_that_hang(spark):
