@@ -401,7 +401,7 @@ def training_pairs(sample: list[tuple[str, str]], ends: frozenset[str] | set[str
     for prompt, answer in sorted(sample):
         parts = clauses(answer)
         tail = parts[-1] if parts else ""
-        if len(parts) >= 3 and language(prompt)[0] == language(answer)[0] and profiles.strange(answer, language(prompt)[0]) < 0.5 and (re.search(r"[.!?]$", tail.strip()) or words(tail) == words(clauses(prompt)[-1])):
+        if len(parts) >= 3 and clauses(prompt) and language(prompt)[0] == language(answer)[0] and profiles.strange(answer, language(prompt)[0]) < 0.5 and (re.search(r"[.!?]$", tail.strip()) or words(tail) == words(clauses(prompt)[-1])):
             sound.append((prompt, answer))
     by_lang: dict[str, list[str]] = {}
     for p, a in sound:

@@ -137,3 +137,10 @@ def test_layout_and_repeated_pairs_do_not_change_the_field(spark, monkeypatch):
     assert set(letters.logs) == {"en", "de"} and letters.logs == other.logs and letters.usual == other.usual
     a, b, c = (pairs.trained(x, frozenset({"days"}), letters) for x in (df, df.repartition(7).unionByName(df.limit(50)), df.filter("prompt not like '%sorry%'")))
     assert np.allclose(a.w, b.w) and np.allclose(a.t, b.t) and not np.allclose(a.w, c.w, atol=1e-3)
+
+
+def test_prompts_without_clauses_are_not_learned_from(spark):
+    rows = [("blank", "​ \n" * 30, EN2.rstrip(".")), ("signs", "-" * 60, EN2.rstrip("."))]
+    df = table(spark).select("id", "input", "answer").unionByName(spark.createDataFrame(rows, "id string, input string, answer string"))
+    got = {r.id: r["defect"] for r in pairs.flagged(df, "id", "input", "answer").collect()}
+    assert got["r1"] == "refusal" and not [k for k in got if k.startswith("ok")]
